@@ -33,6 +33,7 @@ from linkspan.functions.scoring import (
 )
 from linkspan.operators.blocking import BLOCK, RULES, BlockingRule, with_blocks
 from linkspan.operators.clean import complete_clean_columns
+from linkspan.operators.spread import join_by_file
 from linkspan.sources.scratch import settle
 
 TUPLE = "tuple_key"
@@ -366,9 +367,10 @@ def link_files(files: DataFrame, incoming: DataFrame, master: DataFrame, rules:
     out = None
     for grade in grades:
         mine = files.filter(F.col("grade") == grade).select("file_id")
-        part = link(incoming.join(mine, "file_id", "left_semi"), master, grade, rules, limits=limits)
+        part = link(join_by_file(incoming, mine, "id", "left_semi"), master, grade, rules, limits=limits)
         out = part if out is None else out.unionByName(part)
-    return out.join(files.select("file_id", F.col("upload_timestamp").alias("upload_date")), "file_id", "left")
+    dates = files.select("file_id", F.col("upload_timestamp").alias("upload_date"))
+    return join_by_file(out, dates, "id_incoming")
 
 
 def match_summary(results: DataFrame) -> DataFrame:

@@ -57,7 +57,9 @@ def comparison_pairs(manual: DataFrame, results: DataFrame, master: DataFrame,
     )
     # Both paths exclude each other, so one join with the registry serves both.
     pairs = own.unionByName(matched).join(registry, "join_nik").drop("join_nik")
-    return pairs.dropDuplicates(["id"])
+    rest = [c for c in pairs.columns if c != "id"]
+    one = pairs.groupBy("id").agg(F.min(F.struct(*rest)).alias("pair"))
+    return one.select("id", *[F.col(f"pair.{c}").alias(c) for c in rest])
 
 
 def _gender(value: Column) -> Column:
@@ -208,10 +210,9 @@ def explain(pairs: DataFrame, known: DataFrame, now: Column, dry_run: bool = Fal
             F.concat(F.lit("DRY_RUN_"), "pattern_name_suffix").alias("pattern_name"),
             F.lit("LLM").alias("source"),
         )
-    table = known.unionByName(new_patterns(detected, known, now).select(*known.columns))
-    table = table.select(
-        "pattern_hash", "pattern_name", "reason_template", "sample_id",
-        (F.col("created_at") == now).alias("is_new"),
+    wanted = ["pattern_hash", "pattern_name", "reason_template", "sample_id"]
+    table = known.select(*wanted, F.lit(False).alias("is_new")).unionByName(
+        new_patterns(detected, known, now).select(*wanted, F.lit(True).alias("is_new"))
     )
     joined = detected.join(F.broadcast(table), "pattern_hash", "left")  # at most 4^5 rows
     fresh = F.col("is_new") & (F.col("sample_id") == F.col("id"))

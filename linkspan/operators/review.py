@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkspan import codes
 from linkspan.functions import text as tx
+from linkspan.operators.spread import join_by_file
 
 
 def area_text(*parts: str) -> Column:
@@ -63,7 +64,7 @@ def close_results(results: DataFrame, file_ids: DataFrame) -> DataFrame:
     closing = file_ids.select("file_id").distinct().withColumn("closing", F.lit(True))
     shut = F.coalesce("closing", F.lit(False)) & (F.col("match_result") == codes.REVIEW)
     return (
-        results.join(closing, "file_id", "left")
+        join_by_file(results, closing, "id_incoming")
         .withColumn("match_result", F.when(shut, codes.MANUAL_UNMATCH).otherwise(F.col("match_result")))
         .drop("closing")
     )
