@@ -177,7 +177,23 @@ SELECT cast(o_orderkey as string) AS transaction_id,
 FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0
 """
 
+# Question-and-answer documents made of the given texts: every line a page, its
+# first sentence the question.
+FAQ = """
+SELECT doc_id, concat('kb/markdown/', source, '/faq_', cast(doc_id as string), '.md') AS path,
+ concat('Q: ', replace(replace(CASE WHEN doc_id % 3 = 0 THEN replace(text, ', ', concat(chr(10), '<query>')) ELSE text END,
+   '. ', concat('.', chr(10), chr(10), chr(10), chr(10))),
+   chr(9), ' ')) AS body
+FROM documents
+"""
+FAQ_DOCUMENTS = """
+SELECT doc_id, path, replace(body, concat('.', chr(10), 'E'), concat('.', chr(10), '<!-- page break -->', chr(10), 'Q: E')) AS text
+FROM faq_body_v
+"""
+
 TEXTS = {
+    "faq_body_v": FAQ,
+    "faq_v": FAQ_DOCUMENTS,
     "master_v": MASTER,
     "incoming_v": INCOMING,
     "upload_rows_v": UPLOAD_ROWS,
@@ -196,8 +212,9 @@ NEEDS = {
     "upload_rows_v": ("incoming_v",),
     "manual_v": ("incoming_v",),
     "partners_v": ("incoming_v",),
+    "faq_v": ("faq_body_v",),
 }
-BASE_TABLES = ("orders", "supplier", "events")
+BASE_TABLES = ("orders", "supplier", "events", "documents")
 
 
 def needed(names: tuple[str, ...]) -> list[str]:
@@ -210,6 +227,13 @@ def needed(names: tuple[str, ...]) -> list[str]:
     return out
 
 
+def with_tables(*names: str, **more: str) -> str:
+    """WITH clause that defines the named tables (and further texts) for a check."""
+    parts = [f"{name} AS ({TEXTS[name]})" for name in needed(names)]
+    parts += [f"{name} AS ({text})" for name, text in more.items()]
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table over the parquet tables of a folder."""
     parts = needed((name,))

@@ -14,9 +14,9 @@ from linkspan.operators import reasons
 from linkspan.operators.clean import clean_incoming
 from linkspan.operators.grading import grade_files, profile_files
 from linkspan.operators.matching import link_files
-from linkspan.sources.intake import file_key
-from linkspan.sources.tables import overwrite_files
+from linkspan.sources.intake import file_key, with_row_ids
 from linkspan.sources.scratch import settle
+from linkspan.sources.tables import overwrite_files
 
 
 def watch_uploads(spark: SparkSession, folder: str, header: list[str], curated: str, grades: str,
@@ -34,8 +34,6 @@ def watch_uploads(spark: SparkSession, folder: str, header: list[str], curated:
     )
 
     def handle(batch: DataFrame, _: int) -> None:
-        from linkspan.sources.intake import with_row_ids
-
         named = [c.strip().lower() for c in header]
         rows = with_row_ids(batch).toDF(*named, "path", "id").withColumn("file_id", file_key(F.col("path")))
         kept = settle(rows.drop("path"), "uploads")
