@@ -55,11 +55,8 @@ PATTERN_GENDER_WORDS = {
     "p": ("p", "perempuan", "wanita"),
 }
 
-# Accepted birth-date formats, tried in this order
-BIRTH_DATE_FORMATS = (
-    "d/M/yyyy", "d-M-yyyy", "d M yyyy", "d-MMM-yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy-M-d",
-)
-REGISTRY_DATE_FORMAT = "yyyy-M-d"
+# Accepted birth dates: d/m/yyyy, d-m-yyyy, d m yyyy, d-mon-yyyy, d month yyyy,
+# yyyy-m-d (see functions.text.birth_date); the registry has yyyy-m-d only
 EARLIEST_BIRTH_YEAR = 1900
 
 # Characters with the Unicode White_Space property

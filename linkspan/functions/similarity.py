@@ -141,18 +141,35 @@ def jaro_winkler_arrow(left, right) -> np.ndarray:
     """
     left, right = _as_text(left), _as_text(right)
     out = np.zeros(len(left), dtype=np.float64)
-    la = pc.fill_null(pc.utf8_length(left), 0).to_numpy(zero_copy_only=False)
-    lb = pc.fill_null(pc.utf8_length(right), 0).to_numpy(zero_copy_only=False)
-    some = (la > 0) & (lb > 0)
-    equal = pc.fill_null(pc.equal(left, right), False).to_numpy(zero_copy_only=False)
-    out[some & equal] = 1.0
-    todo = some & ~equal
-    short = np.flatnonzero(todo & (np.maximum(la, lb) <= _WORD))
+    some = pc.fill_null(pc.and_(pc.not_equal(left, ""), pc.not_equal(right, "")), False)
+    rows = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+    if not len(rows):
+        return out
+    # A batch repeats its values a lot: every distinct pair is compared once.
+    a, b = (side.take(pa.array(rows)).dictionary_encode() for side in (left, right))
+    wide = len(b.dictionary)
+    joint = np.asarray(a.indices, dtype=np.int64) * wide + np.asarray(b.indices, dtype=np.int64)
+    pairs, place = np.unique(joint, return_inverse=True)
+    out[rows] = _distinct_pairs(
+        a.dictionary.take(pa.array(pairs // wide)), b.dictionary.take(pa.array(pairs % wide))
+    )[place]
+    return out
+
+
+def _distinct_pairs(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Similarity of non-empty strings."""
+    out = np.ones(len(left), dtype=np.float64)
+    differ = pc.not_equal(left, right).to_numpy(zero_copy_only=False)
+    longest = np.maximum(
+        pc.utf8_length(left).to_numpy(zero_copy_only=False),
+        pc.utf8_length(right).to_numpy(zero_copy_only=False),
+    )
+    short = np.flatnonzero(differ & (longest <= _WORD))
     for start in range(0, len(short), _SLICE):
         rows = short[start : start + _SLICE]
         pick = pa.array(rows)
         out[rows] = _batch(left.take(pick), right.take(pick))
-    for row in np.flatnonzero(todo & (np.maximum(la, lb) > _WORD)):
+    for row in np.flatnonzero(differ & (longest > _WORD)):
         out[row] = jaro_winkler_text(left[int(row)].as_py(), right[int(row)].as_py())
     return out
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -40,22 +39,35 @@ def canonical(value: Column, words: Mapping[str, Iterable[str]]) -> Column:
     return out
 
 
-def _shape(fmt: str) -> str:
-    """Regular expression of the texts a date format can apply to."""
-    parts = {"yyyy": r"\d{4}", "MMMM": "[a-z]{3,}", "MMM": "[a-z]{3}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
-    return "^" + re.sub("y+|M+|d+", lambda m: parts[m.group()], fmt) + "$"
+_DAY_FIRST = r"^(\d{1,2})([/\- ])(\d{1,2})\2(\d{4})$"
+_YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_NAMED_MONTH = {
+    "d-MMM-yyyy": r"^\d{1,2}-[a-z]{3}-\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [a-z]{3} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [a-z]{3,} \d{4}$",
+}
 
 
-def parse_date(value: Column, formats: Iterable[str]) -> Column:
-    """First format that parses wins; text that fits none gives null.
+def year_first_date(value: Column) -> Column:
+    """Date written year-month-day; anything else gives null."""
+    text = clean_text(value)
+    return F.when(text.rlike(_YEAR_FIRST), text.try_cast("date"))
+
 
-    A format is only tried on text of its shape, since a failed parse is far
-    dearer than a look at the text.
+def birth_date(value: Column) -> Column:
+    """Date in any accepted format; text that fits none gives null.
+
+    The formats differ in shape, so at most one applies.  Those in digits are
+    turned into year-month-day and cast; month names need a format, which is
+    only tried on text of its shape, since a failed parse is far dearer than a
+    look at the text.
     """
     text = clean_text(value)
-    return F.coalesce(
-        *[F.when(text.rlike(_shape(fmt)), F.try_to_date(text, fmt)) for fmt in formats]
-    )
+    digits = F.regexp_replace(text, _DAY_FIRST, "$4-$3-$1")
+    named = [
+        F.when(text.rlike(shape), F.try_to_date(text, fmt)) for fmt, shape in _NAMED_MONTH.items()
+    ]
+    return F.coalesce(F.when(digits.rlike(_YEAR_FIRST), digits.try_cast("date")), *named)
 
 
 def plausible_birth(date: Column) -> Column:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspan.sources.scratch import settle
+
 BLOCK = "block"
 _SEPARATOR = "\u001f"
 
@@ -154,9 +156,13 @@ RULES = {1: BY_NIK, 2: BY_NIK, 3: GENDER_DATE_NAME, 4: BY_PRESENT_FIELDS, 5: LIF
 
 
 def with_blocks(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """One row per block a row belongs to; rows without any block disappear."""
-    key = keys[0] if len(keys) == 1 else F.explode(F.array(*keys))
-    return df.withColumn(BLOCK, key).filter(F.col(BLOCK).isNotNull())
+    """One row per block a row belongs to; rows without any block disappear.
+
+    A single key takes the same way as several: filters on a generated column
+    are not pushed below the generator, where they would compute the long key
+    expressions once more for every part of the key.
+    """
+    return df.withColumn(BLOCK, F.explode(F.array(*keys))).filter(F.col(BLOCK).isNotNull())
 
 
 def candidate_pairs(incoming: DataFrame, master: DataFrame, rule: BlockingRule) -> DataFrame:
@@ -183,7 +189,9 @@ def candidate_counts(incoming: DataFrame, master: DataFrame, rule: BlockingRule)
         .groupBy(BLOCK).agg(F.count("one").alias("size"))
     )
     ids = ["file_id", "id"]
-    keyed = with_blocks(incoming, rule.incoming_keys()).select(*ids, BLOCK)
+    # Keys are long expressions; written once, they are not computed again in
+    # every filter the join derives from them.
+    keyed = settle(with_blocks(incoming, rule.incoming_keys()).select(*ids, BLOCK), "keys")
     found = keyed.join(sizes, BLOCK).groupBy(*ids).agg(F.sum("size").alias("n_candidates"))
     return (
         incoming.select(*ids).distinct().join(found, ids, "left")

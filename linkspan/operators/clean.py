@@ -27,7 +27,7 @@ def clean_incoming(df: DataFrame) -> DataFrame:
         if name in have:
             fresh[f"{name}_clean"] = tx.clean_text(F.col(name))
     if "tanggal_lahir" in have:
-        fresh["tanggal_lahir_clean"] = tx.parse_date(F.col("tanggal_lahir"), codes.BIRTH_DATE_FORMATS)
+        fresh["tanggal_lahir_clean"] = tx.birth_date(F.col("tanggal_lahir"))
     if "jenis_kelamin" in have:
         fresh["jenis_kelamin_clean"] = tx.canonical(F.col("jenis_kelamin"), codes.GENDER_WORDS)
     if "status_hidup" in have:
@@ -67,9 +67,7 @@ def clean_master(df: DataFrame) -> DataFrame:
     for name in codes.TEXT_COLUMNS:
         source = "nama_lengkap" if name == "nama" else name
         fresh[f"{name}_master_clean"] = tx.clean_text(F.col(source))
-    fresh["tanggal_lahir_master_clean"] = tx.parse_date(
-        F.col("tanggal_lahir"), [codes.REGISTRY_DATE_FORMAT]
-    )
+    fresh["tanggal_lahir_master_clean"] = tx.year_first_date(F.col("tanggal_lahir"))
     fresh["jenis_kelamin_master_clean"] = F.coalesce(
         tx.canonical(F.col("jenis_kelamin"), codes.GENDER_WORDS),
         tx.clean_text(F.col("jenis_kelamin")),

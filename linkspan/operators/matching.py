@@ -6,7 +6,8 @@ How the work is laid out:
   it is compared once, whatever the number of copies.
 * A first aggregation measures the blocks.  From it follows how the join runs:
   incoming tuples of a checked size are broadcast and the registry is read in
-  place; otherwise both sides are shuffled on the block; blocks too large for
+  place (rows that meet a partner are spread over more tasks when there are many
+  pairs to score); otherwise both sides are shuffled on the block; blocks too large for
   one task are cut into tiles (both sides), after equal registry rows have been
   merged.
 * Pairs are scored batch by batch where the join produces them and only the
@@ -48,7 +49,9 @@ class Limits:
     broadcast_tuples: int = 200_000  # incoming side sent to every task up to here
     tile_incoming: int = 5_000  # tuples of one block handled by one task
     tile_master: int = 20_000
-    narrow_from_pairs: int = 200_000_000  # expected pairs from which narrowing pays
+    narrow_from_pairs: int = 50_000_000  # expected pairs from which narrowing pays
+    pairs_per_task: int = 1_000_000  # at most, when registry rows are spread anew
+    pairs_worth_a_task: int = 25_000  # at least, while cores are free
     hot_share: int = 5_000  # a block is hot only above total/hot_share rows
 
 
@@ -60,6 +63,7 @@ class Layout:
     broadcast: bool
     pairs: int = 0
     narrow: bool = False
+    tasks: int = 1  # registry rows that have partners are spread over so many tasks
     hot_blocks: list[tuple[str, int, int]] = field(default_factory=list)  # block, cuts in, cuts master
     hot_tuples: list[tuple[str, int]] = field(default_factory=list)  # tuple, cuts
 
@@ -117,6 +121,11 @@ def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, limits: L
             met = master.select(BLOCK).join(F.broadcast(mine.select(BLOCK, "n_in")), BLOCK)
             layout.pairs = int(met.agg(F.sum("n_in")).first()[0] or 0)
             layout.narrow = layout.pairs >= limits.narrow_from_pairs
+            cores = master.sparkSession.sparkContext.defaultParallelism
+            layout.tasks = max(
+                -(-layout.pairs // limits.pairs_per_task),
+                min(cores, layout.pairs // limits.pairs_worth_a_task),
+            )
         return layout
 
     hot_copies = max(limits.tile_incoming, int(seen["rows_in"]) // limits.hot_share)
@@ -230,6 +239,9 @@ def _search(tuples: DataFrame, master: DataFrame, profile: ScoreProfile, layout:
         tuples = tuples.withColumn("agreed", F.col(f"a_{narrow_by}"))
         master = master.withColumn("agreed", F.col(f"b_{narrow_by}"))
     if layout.broadcast:
+        if layout.tasks > 1:
+            met = F.broadcast(tuples.select(*on).distinct())
+            master = master.join(met, on, "left_semi").repartition(layout.tasks, BLOCK, "nik_master")
         return _best_partner(master.join(F.broadcast(tuples), on), profile)
     if layout.hot_blocks:
         values = [f"b_{f}" for f in profile.fields]
@@ -355,15 +367,18 @@ def link_with_sql(incoming: DataFrame, master: DataFrame, sql: str, grade: int,
 
 
 def link_files(files: DataFrame, incoming: DataFrame, master: DataFrame, rules: DataFrame,
-               grades: tuple[int, ...] = (1, 2, 3, 4, 5), limits: Limits = Limits()) -> DataFrame:
+               limits: Limits = Limits()) -> DataFrame:
     """Match the rows of many files, each by the rule of its file's grade.
 
-    Files whose grade is outside 1-5 are refused.
+    Only the grades that occur are run; a file whose grade is outside 1-5 is
+    refused.
     """
-    wrong = files.filter(F.col("grade").isNull() | ~F.col("grade").between(1, 5))
-    bad = wrong.select("file_id").take(1)
-    if bad:
-        raise ValueError(f"Unsupported grade in file {bad[0][0]}")
+    known = F.when(F.col("grade").isin(*RULES), F.col("grade")).otherwise(0)
+    grades = sorted(r[0] for r in files.select(known).distinct().collect())  # at most six
+    if 0 in grades:
+        raise ValueError("Unsupported grade among the files")
+    if not grades:
+        grades = [codes.GRADE_A]
     out = None
     for grade in grades:
         mine = files.filter(F.col("grade") == grade).select("file_id")

@@ -141,6 +141,9 @@ _PLACEHOLDERS = tuple(
 )
 
 
+_NEVER = "(?!)"  # matches nothing
+
+
 def to_template(pairs: DataFrame, reason: Column) -> Column:
     """The reason with the row's own values replaced by placeholders.
 
@@ -156,7 +159,10 @@ def to_template(pairs: DataFrame, reason: Column) -> Column:
             F.lit(True),
         )
         quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        out = F.when(nothing, out).otherwise(F.regexp_replace(out, quoted, F.lit(placeholder)))
+        # The pattern, not the result, depends on the value: the text before
+        # stays a single expression however many placeholders there are.
+        pattern = F.when(nothing, F.lit(_NEVER)).otherwise(quoted)
+        out = F.regexp_replace(out, pattern, F.lit(placeholder))
     return out
 
 

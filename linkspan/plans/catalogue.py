@@ -26,7 +26,7 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 NOW = "2024-01-20 12:00:00"
-ONE_FILE = "f3"
+ONE_FILE, REVIEWED_FILE, EXPORTED_FILE = "f3", "f2", "f1"
 
 
 def query(sql: str | None = None):
@@ -499,7 +499,7 @@ _AREA_SQL = "concat_ws(', ', nullif(trim(provinsi), ''), nullif(trim(kabupaten),
 
 
 @query(
-    with_tables("incoming_v", **_match_parts(sc.PROFILE_E_TEXT))
+    with_tables("incoming_v", **_match_parts(sc.PROFILE_D))
     + f"SELECT i.file_id, i.id AS id_incoming, i.nik AS nik_incoming, i.nama AS nama_incoming,"
       f" i.tempat_lahir AS tempat_lahir_incoming, {_AREA_SQL} AS area_incoming,"
       " i.tanggal_lahir AS tanggal_lahir_incoming, i.jenis_kelamin AS jenis_kelamin_incoming,"
@@ -507,7 +507,7 @@ _AREA_SQL = "concat_ws(', ', nullif(trim(provinsi), ''), nullif(trim(kabupaten),
       " FROM incoming_v i JOIN matched m ON i.file_id = m.file_id AND i.id = m.id_incoming WHERE m.match_result = 2"
 )
 def review_rows(spark, sf_dir):
-    results = _link(spark, sf_dir, 5, profile=sc.PROFILE_E_TEXT)
+    results = _link(spark, sf_dir, 4)
     return review.review_rows(results, derive(spark, sf_dir, "incoming_v"))
 
 
@@ -525,21 +525,21 @@ def review_queue(spark, sf_dir):
 
 @query(
     with_tables("partners_v", "manual_v") + _QUEUE_SQL
-    + f" AND p.file_id = '{ONE_FILE}' ORDER BY match_score, id_incoming LIMIT 10 OFFSET 10"
+    + f" AND p.file_id = '{REVIEWED_FILE}' ORDER BY match_score, id_incoming LIMIT 10 OFFSET 10"
 )
 def review_page(spark, sf_dir):
     return reports.review_page(
-        derive(spark, sf_dir, "partners_v"), derive(spark, sf_dir, "manual_v"), ONE_FILE, 2
+        derive(spark, sf_dir, "partners_v"), derive(spark, sf_dir, "manual_v"), REVIEWED_FILE, 2
     )
 
 
 @query(
-    with_tables("partners_v", "manual_v", q=_QUEUE_SQL + f" AND p.file_id = '{ONE_FILE}'")
+    with_tables("partners_v", "manual_v", q=_QUEUE_SQL + f" AND p.file_id = '{REVIEWED_FILE}'")
     + "SELECT 2 AS page, 10 AS page_size, count(*) AS total_rows,"
       " cast(ceil(count(*) / 10) as bigint) AS total_pages, 2 < ceil(count(*) / 10) AS has_next, true AS has_prev FROM q"
 )
 def review_page_info(spark, sf_dir):
-    queue = reports.review_queue(derive(spark, sf_dir, "partners_v"), derive(spark, sf_dir, "manual_v"), ONE_FILE)
+    queue = reports.review_queue(derive(spark, sf_dir, "partners_v"), derive(spark, sf_dir, "manual_v"), REVIEWED_FILE)
     return reports.page_info(queue, 2, codes.PAGE_REVIEW)
 
 
@@ -1341,13 +1341,13 @@ def register_uploads(spark, sf_dir):
     with_tables("partners_v", "incoming_v")
     + "SELECT i.nik, i.nama, i.tanggal_lahir, m.nama_lengkap AS master_nama_lengkap FROM partners_v p"
       " JOIN incoming_v i ON p.file_id = i.file_id AND p.id_incoming = i.id LEFT JOIN master_v m ON p.nik_master = m.nik"
-      f" WHERE p.match_result IN (1, 4) AND p.file_id = '{ONE_FILE}'"
+      f" WHERE p.match_result IN (1, 4) AND p.file_id = '{EXPORTED_FILE}'"
 )
 def export_csv(spark, sf_dir):
     """The semicolon export of one file, read back."""
     matched, _ = tables.export_file(
         derive(spark, sf_dir, "partners_v"), derive(spark, sf_dir, "incoming_v"),
-        derive(spark, sf_dir, "master_v"), ONE_FILE, fresh_path(spark, "export"),
+        derive(spark, sf_dir, "master_v"), EXPORTED_FILE, fresh_path(spark, "export"),
     )
     rows = spark.read.csv(matched, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.select("nik", "nama", "tanggal_lahir", "master_nama_lengkap")

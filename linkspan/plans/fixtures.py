@@ -234,11 +234,18 @@ def with_tables(*names: str, **more: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """A table; one that comes in fewer pieces than there are cores is spread."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table over the parquet tables of a folder."""
     parts = needed((name,))
     tables = {
-        t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        t: scan(spark, f"{sf_dir}/{t}.parquet")
         for t in BASE_TABLES
         if any(f"FROM {t}" in TEXTS[p] for p in parts)
     }

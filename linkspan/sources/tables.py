@@ -45,7 +45,10 @@ def replace_table(df: DataFrame, path: str, label: str = "table") -> None:
 
 def write_export(df: DataFrame, path: str) -> None:
     """CSV with ";" and a header."""
-    df.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    df.write.mode("overwrite").csv(
+        path, sep=";", header=True, emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def export_file(results: DataFrame, incoming: DataFrame, master: DataFrame, file_id: str,

@@ -35,8 +35,11 @@ def watch_uploads(spark: SparkSession, folder: str, header: list[str], curated:
 
     def handle(batch: DataFrame, _: int) -> None:
         named = [c.strip().lower() for c in header]
-        rows = with_row_ids(batch).toDF(*named, "path", "id").withColumn("file_id", file_key(F.col("path")))
-        kept = settle(rows.drop("path"), "uploads")
+        rows = with_row_ids(batch).select(
+            file_key(F.col("path")).alias("file_id"), "id",
+            *[F.col(f"`{raw}`").alias(name) for raw, name in zip(header, named)],
+        )
+        kept = settle(rows, "uploads")
         overwrite_files(kept, curated)
         overwrite_files(grade_files(profile_files(kept), named).select("file_id", "grade", "total_rows"), grades)
 
