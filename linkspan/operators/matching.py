@@ -336,7 +336,9 @@ def link_with_sql(incoming: DataFrame, master: DataFrame, sql: str, grade: int,
     """
     profile = profile or PROFILES[grade]
     spark = incoming.sparkSession
-    incoming = complete_clean_columns(incoming)
+    incoming = settle(  # read twice below
+        complete_clean_columns(incoming).withColumn("grade", F.lit(grade)), "incoming"
+    )
     incoming.createOrReplaceTempView("incoming_df")
     master.createOrReplaceTempView("master_df")
     try:
@@ -356,12 +358,8 @@ def link_with_sql(incoming: DataFrame, master: DataFrame, sql: str, grade: int,
     row_key = F.concat_ws(
         "\u001f", F.col("file_id") if "file_id" in named else F.lit(""), F.col("id").cast("string")
     )
-    rows = settle(
-        incoming.select(
-            *ROW, F.lit(grade).alias("grade"), missing_count(profile).alias("missing_count"),
-            row_key.alias(TUPLE),
-        ),
-        "incoming",
+    rows = incoming.select(
+        *ROW, "grade", missing_count(profile).alias("missing_count"), row_key.alias(TUPLE),
     )
     return _as_results(rows.join(best, TUPLE, "left"), rules)
 

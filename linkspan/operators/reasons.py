@@ -13,6 +13,7 @@ from pyspark.sql import Window
 
 from linkspan import codes
 from linkspan.functions import text as tx
+from linkspan.sources.scratch import settle
 
 SAME, EMPTY_IN, EMPTY_MASTER, DIFFERENT = "SAMA", "KOSONG_INCOMING", "KOSONG_MASTER", "BEDA"
 FIELDS = tuple(field for field, _ in codes.PATTERN_FIELDS)
@@ -183,20 +184,19 @@ def new_patterns(detected: DataFrame, known: DataFrame, now: Column) -> DataFram
     leave the aggregation, so numbering them in one window is safe.
     """
     fresh = detected.join(F.broadcast(known.select("pattern_hash")), "pattern_hash", "left_anti")
-    templated = fresh.select(
-        "pattern_hash", "pattern_signature", "pattern_name_suffix", "id",
-        to_template(fresh, describe(fresh)).alias("reason_template"),
-    )
-    firsts = templated.groupBy("pattern_hash", "pattern_signature", "pattern_name_suffix").agg(
-        F.min("id").alias("sample_id"), F.min_by("reason_template", "id").alias("reason_template")
-    )
+    firsts = fresh.groupBy("pattern_hash").agg(
+        F.min_by(F.struct(*[c for c in fresh.columns if c != "pattern_hash"]), "id").alias("row")
+    ).select("pattern_hash", "row.*")
+    firsts = firsts.withColumns({
+        "reason_template": to_template(firsts, describe(firsts)),
+        "sample_id": F.col("id").cast("long"),
+    })
     already = known.agg(F.count(F.lit(1)).alias("n")).scalar()
     number = F.row_number().over(Window.orderBy("sample_id")) + already
     return firsts.select(
         "pattern_hash",
         F.format_string("P%03d_%s", number, "pattern_name_suffix").alias("pattern_name"),
-        "pattern_signature", "reason_template", F.col("sample_id").cast("long"),
-        F.lit(1).cast("long").alias("hit_count"),
+        "pattern_signature", "reason_template", "sample_id", F.lit(1).cast("long").alias("hit_count"),
         now.alias("created_at"), now.alias("updated_at"),
     )
 
@@ -208,14 +208,15 @@ def explain(pairs: DataFrame, known: DataFrame, now: Column, dry_run: bool = Fal
     stored rows use for a fresh explanation); every other row is filled from a
     template (source CACHE).  In a dry run nothing is known and nothing stored.
     """
-    detected = detect_patterns(pairs)
     if dry_run:
+        detected = detect_patterns(pairs)
         return detected.select(
             "id", "file_id", "pattern_hash",
             describe(detected).alias("reason"),
             F.concat(F.lit("DRY_RUN_"), "pattern_name_suffix").alias("pattern_name"),
             F.lit("LLM").alias("source"),
         )
+    detected = settle(detect_patterns(pairs), "detected")  # read twice below
     wanted = ["pattern_hash", "pattern_name", "reason_template", "sample_id"]
     table = known.select(*wanted, F.lit(False).alias("is_new")).unionByName(
         new_patterns(detected, known, now).select(*wanted, F.lit(True).alias("is_new"))
