@@ -118,7 +118,7 @@ def job_event(summary: DataFrame, action: str, result: str, latency_ms: int, now
     after_state as JSON."""
     state = F.to_json(F.struct(*summary.columns))
     return summary.select(
-        now.alias("event_time"), F.lit("system").alias("actor_user_id"),
+        now.alias("event_time"), F.lit("system_poc").alias("actor_user_id"),
         F.lit(actor).alias("actor_org_id"), F.lit(action).alias("action"),
         F.lit("FILE").alias("resource_type"), F.col("file_id").alias("resource_id"),
         F.lit(None).cast("string").alias("before_state"), state.alias("after_state"),
@@ -130,7 +130,7 @@ def access_event(spark: SparkSession, action: str, resource_type: str, resource_
                  ip_address: str, result: str, latency_ms: int, now: Column) -> DataFrame:
     """One access event."""
     return spark.range(1).select(
-        now.alias("event_time"), F.lit("anonymous").alias("actor_user_id"),
+        now.alias("event_time"), F.lit("anonymous_poc").alias("actor_user_id"),
         F.lit(action).alias("action"), F.lit(resource_type).alias("resource_type"),
         F.lit(resource_id).alias("resource_id"), F.lit(ip_address).alias("ip_address"),
         F.lit(result).alias("result"), F.lit(latency_ms).cast("long").alias("latency_ms"),

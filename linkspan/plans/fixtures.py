@@ -72,8 +72,8 @@ SELECT file_id, id,
  CASE WHEN kind IN (2,3) THEN NULL WHEN kind = 1 AND k % 11 = 0 THEN NULL
       WHEN kind = 1 AND k % 13 = 0 THEN substr(nik, 1, 10) ELSE full_nik END AS nik,
  nama,
- CASE WHEN kind IN (1,3) AND k % 8 = 0 OR kind = 4 AND k % 2 = 0 THEN NULL ELSE coalesce(tempat_lahir, 'bogor') END AS tempat_lahir,
- CASE WHEN kind IN (1,3,4) THEN tanggal_lahir ELSE coalesce(tanggal_lahir, '1990-01-01') END AS tanggal_lahir,
+ CASE WHEN kind IN (1,3) AND k % 7 = 0 OR kind = 4 AND k % 4 > 1 THEN NULL ELSE coalesce(tempat_lahir, 'bogor') END AS tempat_lahir,
+ CASE WHEN kind IN (1,3) AND k % 4 = 0 OR kind = 4 THEN tanggal_lahir ELSE coalesce(tanggal_lahir, '1990-01-01') END AS tanggal_lahir,
  CASE WHEN kind IN (1,3,4) THEN jenis_kelamin ELSE coalesce(jenis_kelamin, 'L') END AS jenis_kelamin,
  CASE WHEN kind = 4 THEN NULL WHEN kind IN (1,3) THEN nama_ibu ELSE coalesce(nama_ibu, 'sri') END AS nama_ibu
 FROM (SELECT *, cast(3200000000000000 + k as string) AS full_nik,
