@@ -77,13 +77,14 @@ def chunk_documents(documents: DataFrame, path: str = "path", text: str = "text"
     return (
         texts.select(
             path, "doc_name", "content_type", "source_file", "file_hash",
-            F.posexplode(pages).alias("position", "page_content"),
+            F.posexplode_outer(pages).alias("position", "page_content"),
         )
         .select(
             path, "doc_name", "content_type", "source_file", "file_hash",
             (F.col("position") + 1).alias("faq"), "page_content",
             F.sha2("page_content", 256).alias("chunk_hash"),
         )
+        .filter(F.col("page_content").isNotNull())  # documents without any page
     )
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkspan.sources.scratch import settle
+
 BM25_K1, BM25_B = 1.2, 0.75
 RANK_CONSTANT = 60
 REQUEST_BLOCK = 2_000  # vectors of one block sent to the tasks
@@ -82,41 +84,57 @@ def dense_topk(vectors: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame
 def tokens(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, term) for every word of the lower-cased text."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return df.select(ident, F.explode(words).alias("term"))
+    # The outer form: the plain one adds a filter that splits every text once more.
+    return df.select(ident, F.explode_outer(words).alias("term")).filter(F.col("term").isNotNull())
+
+
+_ALL = "\u0000"  # stands for the whole collection among the terms
 
 
 def bm25_topk(documents: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
     """k best documents per request by BM25 over whole texts.
 
-    `documents`: item_id, text; `requests`: query_id, text.  Only terms that
-    some request asks for are counted, and a document's counts, its scores and
-    the k best hits are made where its rows are, after a single shuffle by
-    document.
+    `documents`: item_id, text; `requests`: query_id, text.  The collection is
+    read twice: once for its size and the document counts of the terms asked
+    for, once for the scores.  Of a document only its counts of those terms are
+    shuffled, by document, so scores are added up and cut to the k best per
+    request where the document is.
     """
     asked = (
         tokens(requests, "query_id", "text").groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("asked"))
     )
-    small = asked.count() <= TERM_ROWS
-    send = F.broadcast if small else (lambda df: df)
+    terms = asked.select("term").distinct()
+    send = F.broadcast if asked.count() <= TERM_ROWS else (lambda df: df)
 
     words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     sized = documents.select("item_id", words.alias("words")).withColumn("size", F.size("words"))
-    shape = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
-    n, mean = int(shape["n"]), float(shape["mean"] or 1.0) or 1.0
+    every = F.concat(F.array(F.lit(_ALL)), F.array_distinct("words"))
+    wanted = terms.unionByName(terms.sparkSession.createDataFrame([(_ALL,)], "term string"))
+    spread = settle(
+        sized.select("size", F.explode_outer(every).alias("term"))
+        .join(send(wanted), "term", "left_semi")
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("words")),
+        "terms",
+    )
+    whole = spread.filter(F.col("term") == _ALL).first()
+    n = int(whole["df"]) if whole else 0
+    mean = (float(whole["words"]) / n if n else 0.0) or 1.0
 
     counted = (
-        sized.select("item_id", "size", F.explode("words").alias("term"))
-        .join(send(asked.select("term").distinct()), "term", "left_semi")
+        sized.select("item_id", "size", F.explode_outer("words").alias("term"))
+        .join(send(terms), "term", "left_semi")
         .groupBy("item_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+        .repartition("item_id")
     )
-    spread = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(spread, "term").withColumn("weight", weight * F.col("asked"))
+    weighted = asked.join(spread, "term").select(
+        "query_id", "term", (weight * F.col("asked")).alias("weight")
+    )
     length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("size") / F.lit(mean)
     part = F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * length)
     scores = (
-        counted.join(send(weighted.select("query_id", "term", "weight")), "term")
+        counted.join(send(weighted), "term")
         .groupBy("query_id", "item_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )
     return _top(scores, "query_id", "item_id", k)

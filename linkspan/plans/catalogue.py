@@ -16,7 +16,7 @@ from linkspan.operators import (
     search, spread, transactions,
 )
 from linkspan.operators.clean import clean_incoming, clean_master
-from linkspan.plans.fixtures import derive, with_tables
+from linkspan.plans.fixtures import derive, scan, with_tables
 from linkspan.sources import intake, tables
 from linkspan.sources.scratch import fresh_path, settle
 from linkspan.streaming import jobs
@@ -46,7 +46,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _incoming(spark, sf_dir):
