@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspan import codes
+from linkspan.operators.spread import send_if_small
 
 
 def label_table(spark: SparkSession, labels: dict[int, str], code: str, label: str) -> DataFrame:
@@ -194,9 +195,8 @@ def review_page(results: DataFrame, manual: DataFrame, file_id: str, number: int
 
 def registry_rows(master: DataFrame, niks: DataFrame) -> DataFrame:
     """Registry rows of the given niks, each once."""
-    return master.select(*codes.MASTER_COLUMNS).join(
-        niks.select("nik").distinct(), "nik", "left_semi"
-    )
+    wanted = niks.select("nik").filter(F.col("nik").isNotNull()).distinct()
+    return master.select(*codes.MASTER_COLUMNS).join(send_if_small(wanted), "nik", "left_semi")
 
 
 def uploaded_rows(curated: DataFrame, ids: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def side_by_side(rows: DataFrame, incoming: DataFrame, master: DataFrame) -> Dat
         extra.append("reason")
     uploaded = incoming.withColumnRenamed("id", "id_incoming")
     raw = [c for c in uploaded.columns if c not in ("id_incoming", "file_id")]
-    registry = master.select(
+    registry = registry_rows(master, rows.select(F.col("nik_master").alias("nik"))).select(
         F.col("nik").alias("nik_master"), F.struct(*codes.MASTER_COLUMNS).alias("master")
     )
     joined = rows.join(
@@ -234,7 +234,7 @@ def export_matched(results: DataFrame, incoming: DataFrame, master: DataFrame) -
     keys = results.filter(F.col("match_result").isin(*codes.MATCHED_RESULTS)).select(
         "file_id", F.col("id_incoming").alias("id"), "nik_master"
     )
-    registry = master.select(
+    registry = registry_rows(master, keys.select(F.col("nik_master").alias("nik"))).select(
         F.col("nik").alias("nik_master"),
         *[F.col(c).alias(f"master_{c}") for c in codes.MASTER_COLUMNS],
     )

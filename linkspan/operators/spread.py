@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from linkspan.sources.scratch import settle
+
 FILE_PARTS = 64
+KEYS_SENT = 200_000
 
 
 def join_by_file(rows: DataFrame, files: DataFrame, spread_by: str, how: str = "left",
@@ -22,6 +25,13 @@ def join_by_file(rows: DataFrame, files: DataFrame, spread_by: str, how: str = "
     return rows.withColumn("piece", cut).join(pieces, ["file_id", "piece"], how).drop("piece")
 
 
+def send_if_small(df: DataFrame, limit: int = KEYS_SENT) -> DataFrame:
+    """Write a table of keys; with at most `limit` rows it is sent to every task,
+    so that the large table it is joined with is read in place."""
+    kept = settle(df, "keys")
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def number_rows(df: DataFrame, group: str, order: str, name: str = "number",
                 width: int = 100_000) -> DataFrame:
     """Row number from 1 within each group, in the order of a whole-number column

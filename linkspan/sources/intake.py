@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkspan import codes
 from linkspan.operators.clean import normalise_headers
 
-SPLITS_SENT = 1_000_000  # split offsets sent to every task up to here
+SPLITS_SENT = 100_000  # split offsets sent to every task up to here
 
 
 def file_key(path: Column) -> Column:
