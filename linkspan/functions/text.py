@@ -75,11 +75,6 @@ def plausible_birth(date: Column) -> Column:
     return F.when(F.year(date) >= codes.EARLIEST_BIRTH_YEAR, date)
 
 
-def show_date(value: Column) -> Column:
-    """dd-MM-yyyy for dates, text as it is, "null" for nothing."""
-    return F.coalesce(F.date_format(value, "dd-MM-yyyy"), F.lit("null"))
-
-
 def finite_or_null(df: DataFrame) -> DataFrame:
     """NaN and infinities become null in every floating-point column."""
     fractional = {name for name, kind in df.dtypes if kind in ("double", "float")}
