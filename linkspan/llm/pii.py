@@ -145,14 +145,20 @@ def disclosing(
     least_share: float = 0.5, least_bits: float = 4.0,
 ) -> DataFrame:
     """term, entity, bits of the terms that disclose an entity. `found`: stored, see contexts."""
-    seen = contexts(found.where("size(base) > 0"), near)
-    joint = settle(seen.groupBy("entity", "term").agg(
+    seen = settle(contexts(found.where("size(base) > 0"), near), "contexts")
+    joint = seen.groupBy("entity", "term").agg(
         F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id", "hash").alias("docs_both")
-    ).where(F.col("contexts") >= least_contexts), "joint")
+    ).where(F.col("contexts") >= least_contexts)
+    # A term is in at least the documents whose contexts it is in: most words that don't
+    # disclose anything are seen with many entities, and need not be counted elsewhere.
+    near_any = seen.select("term", "doc_id", "hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("docs_near"))
+    joint = settle(joint.join(near_any, "term").where(
+        F.col("docs_both") >= least_share * F.col("docs_near")
+    ).drop("docs_near"), "joint")
     own = docs.select(F.explode(F.array_distinct(_words(F.col(text)))).alias("term"))
     wanted = joint.select("term").distinct()
     # Words that are no candidates are dropped before the counts are shuffled, if that can be done by broadcast.
-    of_term = own.join(small(wanted, 1_000_000), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs_term"))
+    of_term = own.join(small(wanted, 200_000), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs_term"))
     of_entity = found.where("size(base) > 0").select("doc_id", "hash", F.explode(F.array_distinct(F.transform(
         "base", entity
     ))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("docs_entity"))
@@ -164,7 +170,7 @@ def disclosing(
     ).select("term", "entity", bits.alias("bits"))
 
 
-def findings(docs: DataFrame, text: str = "text", broadcast_rows: int = 1_000_000, **limits) -> DataFrame:
+def findings(docs: DataFrame, text: str = "text", broadcast_rows: int = 200_000, **limits) -> DataFrame:
     """row (struct of the document's columns), text, base and all: arrays as in base_findings.
 
     `all` holds the base findings and the terms, by start and kind.
