@@ -110,14 +110,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 HOT = 1000
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, on: str, total: int) -> DataFrame:
-    """Inner join of rows with one row per key, where `n` counts the key's rows.
+def join_counted(rows: DataFrame, groups: DataFrame, on: str, total: int, n: str = "n") -> DataFrame:
+    """Inner join of rows with one row per key, where column `n` counts the key's rows.
 
     The hot keys, fewer than HOT, are broadcast, so that no task gets all rows of one;
     the rest is joined by shuffle. `rows` and `groups` are read twice: pass stored tables.
     """
-    hot = groups.where(F.col("n") * HOT > total)
-    rest = groups.where(F.col("n") * HOT <= total)
+    hot = groups.where(F.col(n) * HOT > total)
+    rest = groups.where(F.col(n) * HOT <= total)
     few = rows.join(F.broadcast(hot), on)
     many = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on)
     return few.unionByName(many)

@@ -17,7 +17,8 @@ Components are wanted, so pairs known to be connected are not looked at again:
    join two components is missed. Within the largest component of a bucket no pair is formed.
 
 The order, the choice of l and the pivots only bear on speed. Hot buckets, copies and
-components are joined by broadcast of the few hot keys. Sets are 64-bit hashes of the
+components are joined by broadcast of the few hot keys. A shared shingle counts only
+where its places in the two prefixes leave room for enough common ones after it. Sets are 64-bit hashes of the
 shingles, and equal sets are found by 128 bits.
 
 Defined results: A-Z is lower-cased; words are runs of other than space and \\x09-\\x0D.
@@ -137,7 +138,7 @@ def prefix(own: np.ndarray, often: np.ndarray, share: int) -> tuple[np.ndarray,
 
 
 def prefixes(reps: DataFrame, often: np.ndarray, share: int, words: int) -> DataFrame:
-    """token, id, n, l, rare for each shingle of the prefixes. `reps` has id and text."""
+    """token, id, n, l, rare, pos for each shingle of the prefixes. `reps` has id and text."""
     sent = reps.sparkSession.sparkContext.broadcast(often)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +155,54 @@ def prefixes(reps: DataFrame, often: np.ndarray, share: int, words: int) -> Data
                     at += 1
                 made = np.array(facts, dtype=np.int64)
                 each = np.repeat(made[:, :4], made[:, 4], axis=0)
+                places = np.concatenate([np.arange(1, f[4] + 1, dtype=np.int32) for f in facts])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(tokens)), pa.array(each[:, 0]), pa.array(each[:, 1].astype(np.int32)),
-                    pa.array(each[:, 2].astype(np.int32)), pa.array(each[:, 3].astype(np.int32)),
-                ], ["token", "id", "n", "l", "rare"])
+                    pa.array(np.concatenate(tokens)), pa.array(each[:, 0]),
+                    *(pa.array(each[:, i].astype(np.int32)) for i in (1, 2, 3)), pa.array(places),
+                ], ["token", "id", "n", "l", "rare", "pos"])
 
-    return reps.select("id", "text").mapInArrow(cut, "token long, id long, n int, l int, rare int")
+    return reps.select("id", "text").mapInArrow(cut, "token long, id long, n int, l int, rare int, pos int")
+
+
+def in_reach(share: int) -> str:
+    """Whether a shared shingle counts for a pair: sets of n and n_b that are similar share at least
+
+    o = ceil(share * (n + n_b) / (100 + share)), so that their first k common shingles are
+    among the first n - o + k of one and n_b - o + k of the other; here k = min(l, l_b).
+    """
+    least = f"cast(ceil({share} * (n + n_b) / {100 + share}) as int)"
+    return (
+        f"pos <= n - {least} + least(l, l_b) and pos_b <= n_b - {least} + least(l, l_b) "
+        f"and 100 * least(n, n_b) >= {share} * greatest(n, n_b)"
+    )
+
+
+def histogram(own: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall in each of about half as many cells, by their last bits."""
+    cells = 1 << max(3, (len(own) // 2).bit_length())
+    return np.minimum(np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def most_shared(left: np.ndarray, right: np.ndarray) -> int:
+    """An upper bound of the overlap of two sets, from their histograms."""
+    if len(left) < len(right):
+        left, right = right, left
+    full = bool((left == 255).any() or (right == 255).any())
+    folded = left.reshape(-1, len(right)).sum(axis=0, dtype=np.int64)
+    return 1 << 62 if full else int(np.minimum(folded, right).sum())
 
 
 def similar(pairs: DataFrame, reps: DataFrame, share: int, words: int, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Each set is made once and sent to its pairs."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    """The pairs (a, b) whose sets are similar; `pairs` has their sizes too.
+
+    Histograms, a sixteenth of a set's size, go to all pairs first and leave out those
+    that can't share enough; whole sets go to the others.
+    """
+
+    @F.arrow_udf("binary")
+    def drawn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([histogram(shingles(t, words)).tobytes() for run in steps(batch) for t in run], pa.binary())
 
     @F.arrow_udf("binary")
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -172,7 +210,16 @@ def similar(pairs: DataFrame, reps: DataFrame, share: int, words: int, broadcast
             yield pa.array([shingles(t, words).tobytes() for run in steps(batch) for t in run], pa.binary())
 
     @F.arrow_udf("boolean")
-    def close(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def possible(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for left, right, size_a, size_b in batches:
+            out = []
+            for x, y, n, m in zip(left, right, size_a.to_pylist(), size_b.to_pylist(), strict=True):
+                both = most_shared(*(np.frombuffer(v.as_py(), np.uint8) for v in (x, y)))
+                out.append((100 + share) * both >= share * (n + m))
+            yield pa.array(out, pa.bool_())
+
+    @F.arrow_udf("boolean")
+    def close(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for left, right in batches:
             out = []
             for x, y in zip(left, right, strict=True):
@@ -181,9 +228,16 @@ def similar(pairs: DataFrame, reps: DataFrame, share: int, words: int, broadcast
                 out.append(100 * both >= share * (len(x) + len(y) - both))
             yield pa.array(out, pa.bool_())
 
-    sets = settle(reps.join(small(ids, broadcast_rows), "id", "left_semi").select("id", packed("text").alias("own")), "sets")
-    one, two = (sets.select(F.col("id").alias(c), F.col("own").alias(f"set_{c}")) for c in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").where(close("set_a", "set_b")).select("a", "b")
+    def checked(rows: DataFrame, made, test, more: list[str], name: str) -> DataFrame:
+        ids = settle(rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}_ids")
+        sets = settle(
+            reps.join(small(ids, broadcast_rows), "id", "left_semi").select("id", made("text").alias("own")), name
+        )
+        one, two = (sets.select(F.col("id").alias(c), F.col("own").alias(f"set_{c}")) for c in ("a", "b"))
+        return rows.join(one, "a").join(two, "b").where(test("set_a", "set_b", *more)).select(*rows.columns)
+
+    left = settle(checked(pairs, drawn, possible, ["size_a", "size_b"], "histograms"), "possible")
+    return checked(left.select("a", "b"), packed, close, [], "sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,7 +278,6 @@ def near_duplicates(
     `share`: the least similarity in percent. is_first: it is the first of its component
     by doc_id, null ones last, then by a hash of the text; documents without a shingle are.
     """
-    spark = docs.sparkSession
     seen = settle(survey(docs, text, words), "survey")
     sets = seen.where("node is not null").select("doc_id", "hash", "n", "node")
     often = frequencies(table_of(seen.where("piece is not null").select("piece", "cells"), CELLS))
@@ -239,7 +292,7 @@ def near_duplicates(
     reps = rows.join(
         small(firsts, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
     ).select("id", "text")
-    links = _links(spark, reps, often, share, words, broadcast_rows)
+    links = _links(reps, often, share, words, broadcast_rows)
     labels = components(links)
     known = nodes.join(labels, "id", "left").select(
         "node", "n", "first", F.coalesce("label", "id").alias("label")
@@ -261,65 +314,50 @@ def near_duplicates(
     ))
 
 
-def _links(spark, reps: DataFrame, often: np.ndarray, share: int, words: int, broadcast_rows: int) -> DataFrame:
+def _links(reps: DataFrame, often: np.ndarray, share: int, words: int, broadcast_rows: int) -> DataFrame:
     """Links enough to connect all that is connected."""
-    every = prefixes(reps, often, share, words)
-    counts = every.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("rare", "id")).alias("pivot"), F.max("id").alias("most"),
-        F.min("id").alias("least"),
-    ).where("least < most").select("token", "n", F.col("pivot.id").alias("pivot"))
-    counts = settle(counts, "counts")
-    facts = ["id", F.col("n").alias("size"), "l"]
+    every = settle(prefixes(reps, often, share, words), "prefixes")
+    counts = settle(every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     shared = settle(
-        join_counted_unsettled(every.select("token", *facts), counts, "token"), "shared"
+        join_counted(every, counts.withColumnRenamed("n", "held"), "token", every.count(), "held"), "shared"
     )
-    sizes = shared.select("id", "size").distinct()
-    pivots = shared.where("id <> pivot").groupBy("id", "pivot").agg(F.max("size").alias("size"))
-    first = pivots.join(sizes.select(F.col("id").alias("pivot"), F.col("size").alias("pivot_size")), "pivot").where(
-        f"100 * least(size, pivot_size) >= {share} * greatest(size, pivot_size)"
-    ).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    pivots = settle(shared.groupBy("token").agg(
+        F.count(F.lit(1)).alias("held"), F.min(F.struct("rare", "id", "n", "l", "pos")).alias("pivot")
+    ), "pivots")
+    other = ["id", "n", "l", "pos"]
+    to_pivot = join_counted(shared.drop("held"), pivots, "token", shared.count(), "held").select(
+        *other, *(F.col(f"pivot.{c}").alias(f"{c}_b") for c in other)
+    ).where("id <> id_b").where(in_reach(share))
+    first = to_pivot.select(*_ordered(
+        F.struct("id", "n"), F.struct(F.col("id_b").alias("id"), F.col("n_b").alias("n"))
+    )).distinct()
     links = settle(similar(settle(first, "first"), reps, share, words, broadcast_rows), "links")
 
     labels = components(links)
     placed = settle(shared.join(labels, "id", "left").select(
-        "token", "id", "size", "l", F.coalesce("label", "id").alias("label")
+        "token", *other, F.coalesce("label", "id").alias("label")
     ).distinct(), "placed")
-    held = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("members"))
-    mixed_tokens = held.groupBy("token").agg(
+    members = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("members"))
+    several = members.groupBy("token").agg(
         F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label")).alias("largest")
     ).where("labels > 1").select("token", F.col("largest.label").alias("largest"))
-    mixed_tokens = settle(mixed_tokens, "mixed")
-    left = placed.join(mixed_tokens, "token").where("label <> largest")
-    names = {"id": "b", "size": "size_b", "l": "l_b", "label": "label_b"}
-    right = placed.select("token", *(F.col(k).alias(v) for k, v in names.items()))
-    crossing = left.join(right, "token").where(
-        f"label <> label_b and (label_b = largest or label < label_b) "
-        f"and 100 * least(size, size_b) >= {share} * greatest(size, size_b)"
-    )
-    pairs = crossing.groupBy(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b2")).agg(
-        F.count(F.lit(1)).alias("both"), F.min(F.least("l", "l_b")).alias("needed")
-    ).where("both >= needed").select("a", F.col("b2").alias("b"))
-    more = similar(settle(pairs, "pairs"), reps, share, words, broadcast_rows)
-    return links.unionByName(more)
-
-
-def join_counted_unsettled(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
-    """As `join_counted`, for rows that are dear to make twice: hot keys are told apart in one pass.
-
-    Rows of hot keys get their group from a broadcast, and a key of their own in the
-    shuffle, so that they are spread and meet nothing there.
-    """
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(groups.where(F.col("n") * 1000 > total).select(
-        F.col(on).alias("hot_key"), F.struct(*(c for c in groups.columns if c != on)).alias("hot")
-    ))
-    cold = groups.where(F.col("n") * 1000 <= total).select(
-        F.col(on).alias("cold_key"), F.struct(*(c for c in groups.columns if c != on)).alias("cold")
+    apart = settle(placed.join(several, "token"), "apart")
+    others = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in [*other, "label"]))
+    crossing = apart.where("label <> largest").join(others, "token").where(
+        f"label <> label_b and (label_b = largest or label < label_b) and {in_reach(share)}"
     )
-    marked = rows.join(hot, F.col(on) == F.col("hot_key"), "left")
-    apart = marked.where("hot_key is not null").drop("hot_key").select(*rows.columns, "hot.*")
-    rest = marked.where("hot_key is null").join(cold, F.col(on) == F.col("cold_key")).select(*rows.columns, "cold.*")
-    return apart.unionByName(rest)
+    pairs = crossing.select(
+        *_ordered(F.struct("id", "n"), F.struct(F.col("id_b").alias("id"), F.col("n_b").alias("n"))),
+        F.least("l", "l_b").alias("needed"),
+    ).groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("common"), F.min("needed").alias("needed"))
+    pairs = settle(pairs.where("common >= needed").select("a", "b", "size_a", "size_b"), "pairs")
+    return links.unionByName(similar(pairs, reps, share, words, broadcast_rows))
+
+
+def _ordered(one, two) -> list:
+    """a, b, size_a and size_b of two (id, n): a is the smaller id."""
+    low, high = F.least(one, two), F.greatest(one, two)
+    return [low["id"].alias("a"), high["id"].alias("b"), low["n"].alias("size_a"), high["n"].alias("size_b")]
 
 
 def kept(docs: DataFrame, found: DataFrame, text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
