@@ -17,8 +17,8 @@ Components are wanted, so pairs known to be connected are not looked at again:
    join two components is missed. Within the largest component of a bucket no pair is formed.
 
 The order, the choice of l and the pivots only bear on speed. Hot buckets, copies and
-components are joined by broadcast of the few hot keys. A shared shingle counts only
-where its places in the two prefixes leave room for enough common ones after it. Sets are 64-bit hashes of the
+components are joined by broadcast of the few hot keys. A pair is formed only by a
+shingle whose places in the two orders leave room for enough common ones after it. Sets are 64-bit hashes of the
 shingles, and equal sets are found by 128 bits.
 
 Defined results: A-Z is lower-cased; words are runs of other than space and \\x09-\\x0D.
@@ -165,14 +165,14 @@ def prefixes(reps: DataFrame, often: np.ndarray, share: int, words: int) -> Data
 
 
 def in_reach(share: int) -> str:
-    """Whether a shared shingle counts for a pair: sets of n and n_b that are similar share at least
+    """Whether a shared shingle may be the first one of a similar pair.
 
-    o = ceil(share * (n + n_b) / (100 + share)), so that their first k common shingles are
-    among the first n - o + k of one and n_b - o + k of the other; here k = min(l, l_b).
+    Sets of n and n_b that are similar share at least o = ceil(share * (n + n_b) / (100 + share))
+    shingles, so the first is among the first n - o + 1 of one and n_b - o + 1 of the other.
     """
     least = f"cast(ceil({share} * (n + n_b) / {100 + share}) as int)"
     return (
-        f"pos <= n - {least} + least(l, l_b) and pos_b <= n_b - {least} + least(l, l_b) "
+        f"pos <= n - {least} + 1 and pos_b <= n_b - {least} + 1 "
         f"and 100 * least(n, n_b) >= {share} * greatest(n, n_b)"
     )
 
@@ -346,11 +346,18 @@ def _links(reps: DataFrame, often: np.ndarray, share: int, words: int, broadcast
     crossing = apart.where("label <> largest").join(others, "token").where(
         f"label <> label_b and (label_b = largest or label < label_b) and {in_reach(share)}"
     )
-    pairs = crossing.select(
+    found = settle(crossing.select(
         *_ordered(F.struct("id", "n"), F.struct(F.col("id_b").alias("id"), F.col("n_b").alias("n"))),
         F.least("l", "l_b").alias("needed"),
-    ).groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("common"), F.min("needed").alias("needed"))
-    pairs = settle(pairs.where("common >= needed").select("a", "b", "size_a", "size_b"), "pairs")
+    ).distinct(), "crossing")
+    # Pairs must share `needed` shingles of their whole prefixes; a prefix is a part of one set.
+    heads = apart.join(
+        found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"
+    ).groupBy("id").agg(F.collect_set("token").alias("head"))
+    heads = settle(heads, "heads")
+    one, two = (heads.select(F.col("id").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b"))
+    pairs = found.join(one, "a").join(two, "b").where("size(array_intersect(head_a, head_b)) >= needed")
+    pairs = settle(pairs.select("a", "b", "size_a", "size_b"), "pairs")
     return links.unionByName(similar(pairs, reps, share, words, broadcast_rows))
 
 
