@@ -17,7 +17,7 @@ def in_period(period: str, now: Column, start: str | None = None, end: str | Non
     time = F.col(column)
     if period == "custom" and start and end:
         return (time >= F.lit(f"{start} 00:00:00").cast("timestamp")) & (
-            time <= F.lit(f"{end} 23:59:59").cast("timestamp")
+            time < F.lit(f"{end} 00:00:00").cast("timestamp") + F.expr("INTERVAL 1 DAY")
         )
     return time >= days_before(now, F.lit(PERIOD_DAYS.get(period, 1)))
 

@@ -356,7 +356,7 @@ def link_with_sql(incoming: DataFrame, master: DataFrame, sql: str, grade: int,
     )
     best = _best_partner(pairs, profile)
     row_key = F.concat_ws(
-        "\u001f", F.col("file_id") if "file_id" in named else F.lit(""), F.col("id").cast("string")
+        "\u001f", F.coalesce(F.col("file_id"), F.lit("")) if "file_id" in named else F.lit(""), F.col("id").cast("string")
     )
     rows = incoming.select(
         *ROW, "grade", missing_count(profile).alias("missing_count"), row_key.alias(TUPLE),

@@ -274,14 +274,19 @@ def mark_processing(manual: DataFrame) -> DataFrame:
 
 
 def files_after_reasons(files: DataFrame, manual: DataFrame) -> DataFrame:
-    """Files whose review rows are all explained (or failed) await action."""
+    """Files in progress whose review rows are all explained (or failed) await action.
+
+    Files in any other state, such as closed ones, keep it.
+    """
     unfinished = F.col("reasoning_status").isin(codes.PENDING, codes.PROCESSING)
     open_rows = manual.groupBy("file_id").agg(F.count_if(unfinished).alias("open_rows"))
     return (
         files.join(open_rows, "file_id", "left")
         .withColumn(
             "sync_status",
-            F.when(F.col("open_rows") == 0, codes.SYNC_AWAITING).otherwise(F.col("sync_status")),
+            F.when(
+                (F.col("open_rows") == 0) & (F.col("sync_status") == codes.SYNC_IN_PROGRESS), codes.SYNC_AWAITING
+            ).otherwise(F.col("sync_status")),
         )
         .drop("open_rows")
     )

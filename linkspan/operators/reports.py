@@ -194,9 +194,12 @@ def review_page(results: DataFrame, manual: DataFrame, file_id: str, number: int
 
 
 def registry_rows(master: DataFrame, niks: DataFrame) -> DataFrame:
-    """Registry rows of the given niks, each once."""
+    """Registry rows of the given niks, each once: of several rows of a nik the smallest."""
     wanted = niks.select("nik").filter(F.col("nik").isNotNull()).distinct()
-    return master.select(*codes.MASTER_COLUMNS).join(send_if_small(wanted), "nik", "left_semi")
+    found = master.select(*codes.MASTER_COLUMNS).join(send_if_small(wanted), "nik", "left_semi")
+    rest = [c for c in codes.MASTER_COLUMNS if c != "nik"]
+    one = found.groupBy("nik").agg(F.min(F.struct(*rest)).alias("row"))
+    return one.select(*(F.col("nik") if c == "nik" else F.col(f"row.{c}").alias(c) for c in codes.MASTER_COLUMNS))
 
 
 def uploaded_rows(curated: DataFrame, ids: DataFrame) -> DataFrame:

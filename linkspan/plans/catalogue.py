@@ -946,7 +946,7 @@ def reason_mark_processing(spark, sf_dir):
     with_tables("manual_v", "files_v",
                 o="SELECT file_id, count(*) FILTER (WHERE id % 2 = 0 AND reasoning_status IN ('PENDING', 'PROCESSING')) AS n"
                   " FROM manual_v WHERE id % 7 <> 3 OR file_id < 'f5' GROUP BY file_id")
-    + "SELECT f.file_id, cast(CASE WHEN o.n = 0 THEN 2 ELSE f.sync_status END as int) AS sync_status"
+    + "SELECT f.file_id, cast(CASE WHEN o.n = 0 AND f.sync_status = 1 THEN 2 ELSE f.sync_status END as int) AS sync_status"
       " FROM files_v f LEFT JOIN o ON f.file_id = o.file_id"
 )
 def reason_status_rollup(spark, sf_dir):
@@ -1393,7 +1393,7 @@ def stream_match(spark, sf_dir):
         spark, incoming, f"{work}/graded", "file_id string, grade int", _master(spark, sf_dir),
         sc.default_rules(spark), f"{work}/results", f"{work}/state", _now(),
     ).awaitTermination()
-    return spark.read.parquet(f"{work}/results").select(
+    return tables.read_by_file(spark, f"{work}/results").select(
         "file_id", "id_incoming", "nik_master", "match_score", "match_result"
     )
 

@@ -45,6 +45,9 @@ def take_in(spark: SparkSession, folder: str, store: Store, institution: str, no
     profiles = grading.profile_files(rows).join(files.select("file_id", "header"), "file_id")
     took = (time.perf_counter() - started) * 1000
     graded = grading.apply_grades(files, grading.grade_files(profiles), now, took)
+    if tables.exists(spark, store.files):  # files taken in earlier keep their state
+        earlier = spark.read.parquet(store.files)
+        graded = earlier.unionByName(graded.join(earlier, "file_id", "left_anti"), allowMissingColumns=True)
     tables.replace_table(graded, store.files, "files")
     return spark.read.parquet(store.files)
 
@@ -59,7 +62,7 @@ def match(spark: SparkSession, store: Store, master: DataFrame, rules: DataFrame
     tables.write_results(results, store.results)
     # Earlier files keep their state: only what was matched now goes on.
     results = join_by_file(
-        spark.read.parquet(store.results), waiting.select("file_id"), "id_incoming", "left_semi"
+        tables.read_by_file(spark, store.results), waiting.select("file_id"), "id_incoming", "left_semi"
     )
     manual = review.review_rows(results, rows).withColumns({
         "id": F.xxhash64("file_id", "id_incoming"),
@@ -72,14 +75,16 @@ def match(spark: SparkSession, store: Store, master: DataFrame, rules: DataFrame
     event = audit.job_event(matching.match_summary(results), "MATCHING", "SUCCESS", int(took), now)
     tables.append_rows(event, store.audit)
     tables.replace_table(done, store.files, "files")
-    return spark.read.parquet(store.results)
+    return tables.read_by_file(spark, store.results)
 
 
 def give_reasons(spark: SparkSession, store: Store, master: DataFrame, now: Column,
                  known: DataFrame | None = None) -> DataFrame:
     """Explain the open review rows; files whose rows are all done await action."""
-    manual = spark.read.parquet(store.manual)
-    results = spark.read.parquet(store.results)
+    manual = tables.read_by_file(spark, store.manual)
+    results = tables.read_by_file(spark, store.results)
+    if known is None and tables.exists(spark, store.patterns):
+        known = settle(spark.read.parquet(store.patterns), "known")  # the table is replaced below
     if known is None:
         known = spark.createDataFrame([], reasons.PATTERN_SCHEMA)
     pairs = reasons.comparison_pairs(manual, results, master)
@@ -103,11 +108,11 @@ def give_reasons(spark: SparkSession, store: Store, master: DataFrame, now: Colu
 def export(spark: SparkSession, store: Store, master: DataFrame, file_id: str) -> DataFrame:
     """Close a file, write its two CSV exports and note where they are."""
     chosen = tables.find_file(spark.read.parquet(store.files), file_id, "file_id")
-    results = spark.read.parquet(store.results)
+    results = tables.read_by_file(spark, store.results)
     mine = results.filter(F.col("file_id") == file_id)
     tables.overwrite_files(settle(review.close_results(mine, chosen), "results"), store.results)
     matched, unmatched = tables.export_file(
-        spark.read.parquet(store.results), intake.read_curated(spark, store.curated).drop("header", "path"),
+        tables.read_by_file(spark, store.results), intake.read_curated(spark, store.curated).drop("header", "path"),
         master, file_id, store.exports,
     )
     files = review.close_files(spark.read.parquet(store.files), chosen)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkspan import codes
 from linkspan.operators.clean import normalise_headers
+from linkspan.sources.tables import read_by_file
 
 SPLITS_SENT = 100_000  # split offsets sent to every task up to here
 
@@ -83,7 +84,7 @@ def read_uploads(spark: SparkSession, folder: str, multi_line: bool = False) ->
 
 def read_curated(spark: SparkSession, path: str) -> DataFrame:
     """Curated uploads, header names normalised."""
-    return normalise_headers(spark.read.option("mergeSchema", True).parquet(path))
+    return normalise_headers(read_by_file(spark, path, merge=True))
 
 
 def register_files(uploads: DataFrame, institution: Column, now: Column) -> DataFrame:

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by spark.checkpoint.dir.
 
-    Only where the session names none (tests) a local folder is used.
+    Only a local master may do without: then a folder of this machine is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="linkspan-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

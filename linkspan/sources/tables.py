@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspan import codes
@@ -18,6 +18,26 @@ def overwrite_files(df: DataFrame, path: str, by: str = "file_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def read_by_file(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
+    """A table that is partitioned by file_id, with its ids as the text they are.
+
+    Left to itself Spark takes ids of digits for numbers when it lists the partitions.
+    """
+    guess = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(guess)
+    spark.conf.set(guess, "false")
+    try:
+        return spark.read.option("mergeSchema", merge).parquet(path)
+    finally:
+        spark.conf.set(guess, before)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything under a path, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_curated(uploads: DataFrame, path: str) -> None:
     """Uploads as Parquet, one partition per file."""
     overwrite_files(uploads, path)

@@ -143,3 +143,33 @@ def test_late_rows_are_dropped_and_hours_updated(spark, tmp_path):
         jobs.keep_latency(spark.readStream.schema(schema).parquet(source), table, state).awaitTermination()
     got = {r["hour_start"].hour: (r["latency"], r["events"]) for r in jobs.read_latency(spark, table).collect()}
     assert got == {1: (10.0, 1), 2: (30.0, 2), 8: (6.0, 2)}
+
+
+def test_ids_of_digits_stay_text(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ids = ["00123456", "1234567d", "1234567f", "12345678"]
+    tables.overwrite_files(spark.createDataFrame([(i, 1) for i in ids], "file_id string, n int"), path)
+    back = tables.read_by_file(spark, path)
+    assert dict(back.dtypes)["file_id"] == "string"
+    assert sorted(r["file_id"] for r in back.collect()) == sorted(ids)
+
+
+def test_closed_files_stay_closed(spark):
+    from linkspan.operators import reasons
+
+    files = spark.createDataFrame([("a", 1), ("b", 3), ("c", None)], "file_id string, sync_status int")
+    manual = spark.createDataFrame(
+        [(f, "COMPLETED") for f in "abc"], "file_id string, reasoning_status string"
+    )
+    after = {r["file_id"]: r["sync_status"] for r in reasons.files_after_reasons(files, manual).collect()}
+    assert after == {"a": 2, "b": 3, "c": None}
+
+
+def test_registry_rows_once(spark):
+    from linkspan import codes
+    from linkspan.operators.reports import registry_rows
+
+    rows = [tuple("1" if c == "nik" else x for c in codes.MASTER_COLUMNS) for x in "ba"]
+    master = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in codes.MASTER_COLUMNS))
+    found = registry_rows(master, spark.createDataFrame([("1",), ("1",)], "nik string")).collect()
+    assert [set(r) for r in found] == [{"1", "a"}]
