@@ -58,7 +58,7 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 class Encoder:
     """Ids of texts. Each distinct piece goes through the tokenizer once while it is remembered."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 150_000
 
     def __init__(self, tokenizer: str, pattern: str, sizes: np.ndarray):
         self.tokenizer = Tokenizer.from_str(tokenizer)
@@ -141,7 +141,7 @@ class Vocabulary:
             encoder = _made[key]
             for batch in batches:
                 ids, counts, starts, ends = [], [], [], []
-                for run in steps(batch):
+                for run in steps(batch, 500_000):
                     texts = [t or "" for t in run]
                     flat, each = encoder.encode(texts)
                     ids.append(flat)
