@@ -81,7 +81,9 @@ def _incoming_rows(incoming: DataFrame, rule: BlockingRule, profile: ScoreProfil
         *ROW, F.lit(profile.grade).alias("grade"), missing_count(profile).alias("missing_count"),
         *[v.alias(n) for n, v in {**values, **keys}.items()],
     )
-    return rows.withColumn(TUPLE, _fingerprint([F.col(n) for n in (*values, *keys)]))
+    # Rows without any key meet nobody; they get no tuple, so that they are not joined.
+    keyed = F.coalesce(*[F.col(n) for n in keys]).isNotNull()
+    return rows.withColumn(TUPLE, F.when(keyed, _fingerprint([F.col(n) for n in (*values, *keys)])))
 
 
 def _incoming_tuples(rows: DataFrame, profile: ScoreProfile) -> DataFrame:
@@ -100,7 +102,8 @@ def _master_rows(master: DataFrame, rule: BlockingRule, profile: ScoreProfile) -
     )
 
 
-def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, limits: Limits) -> Layout:
+def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, profile: ScoreProfile,
+             limits: Limits) -> Layout:
     """Measure the blocks; everything brought to the driver has a fixed bound.
 
     A block (or tuple) is hot above max(tile size, total / hot_share) rows, so
@@ -116,11 +119,13 @@ def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, limits: L
     ).first()
     n_in = int(seen["n_in"] or 0)
     layout = Layout(tuples=n_in, broadcast=n_in <= limits.broadcast_tuples)
+    # Narrowing finds no row done early if another date may still score 100.
+    may_narrow = rule.narrow_by is not None and profile.ceiling_without(rule.narrow_by) < 100
     if layout.broadcast:
         if rule.narrow_by:
             met = master.select(BLOCK).join(F.broadcast(mine.select(BLOCK, "n_in")), BLOCK)
             layout.pairs = int(met.agg(F.sum("n_in")).first()[0] or 0)
-            layout.narrow = layout.pairs >= limits.narrow_from_pairs
+            layout.narrow = may_narrow and layout.pairs >= limits.narrow_from_pairs
             cores = master.sparkSession.sparkContext.defaultParallelism
             layout.tasks = max(
                 -(-layout.pairs // limits.pairs_per_task),
@@ -157,7 +162,7 @@ def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, limits: L
         F.sum(F.col("n_in") * F.col("n_ma").cast("double")).alias("pairs"),
     ).first()
     layout.pairs = int(total["pairs"] or 0)
-    layout.narrow = rule.narrow_by is not None and layout.pairs >= limits.narrow_from_pairs
+    layout.narrow = may_narrow and layout.pairs >= limits.narrow_from_pairs
     cut_ma = max(limits.tile_master, int(total["n_ma"] or 0) // limits.hot_share)
     if seen["max_in"] > cut_in or (total["max_ma"] or 0) > cut_ma:
         layout.hot_blocks = [
@@ -261,8 +266,12 @@ def _give_back(rows: DataFrame, best: DataFrame, layout: Layout) -> DataFrame:
     """Best partner of each tuple to all its rows; rows without one stay."""
     if layout.broadcast:  # at most as many rows as the tuples measured
         return rows.join(F.broadcast(best), TUPLE, "left")
+    keyless = rows.filter(F.col(TUPLE).isNull()).withColumns({
+        "score": F.lit(None).cast("double"), "nik_master": F.lit(None).cast("string"),
+    })
+    rows = rows.filter(F.col(TUPLE).isNotNull())
     if not layout.hot_tuples:
-        return rows.join(best, TUPLE, "left")
+        return rows.join(best, TUPLE, "left").unionByName(keyless)
     hot = F.broadcast(
         rows.sparkSession.createDataFrame(layout.hot_tuples, f"{TUPLE} string, cuts int")
     )
@@ -271,7 +280,8 @@ def _give_back(rows: DataFrame, best: DataFrame, layout: Layout) -> DataFrame:
     best = best.join(hot, TUPLE, "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))
     )
-    return rows.drop("cuts").join(best.drop("cuts"), [TUPLE, "part"], "left").drop("part")
+    found = rows.drop("cuts").join(best.drop("cuts"), [TUPLE, "part"], "left").drop("part")
+    return found.unionByName(keyless)
 
 
 def best_matches(incoming: DataFrame, master: DataFrame, rule: BlockingRule,
@@ -284,7 +294,7 @@ def best_matches(incoming: DataFrame, master: DataFrame, rule: BlockingRule,
     rows = settle(_incoming_rows(complete_clean_columns(incoming), rule, profile), "incoming")
     tuples = _incoming_tuples(rows, profile)
     candidates = _master_rows(master, rule, profile)
-    layout = _measure(tuples, candidates, rule, limits)
+    layout = _measure(tuples, candidates, rule, profile, limits)
     if layout.narrow:
         close = settle(_search(tuples, candidates, profile, layout, rule.narrow_by), "narrow")
         done = close.filter(F.col("score") > profile.ceiling_without(rule.narrow_by) + 1e-6)

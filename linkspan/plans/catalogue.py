@@ -862,32 +862,86 @@ def pattern_detect(spark, sf_dir):
     )
 
 
-_TABLE_SQL = (
-    "SELECT pattern_hash, printf('P%03d_%s', row_number() OVER (ORDER BY sample_id), pattern_name_suffix) AS pattern_name,"
-    " pattern_signature, sample_id, 1 AS hit_count FROM (SELECT pattern_hash, pattern_signature, pattern_name_suffix,"
-    " min(id) AS sample_id FROM detected GROUP BY ALL)"
-)
+def _table_sql(rows: str = "detected", after: str = "0") -> str:
+    """Patterns of `rows`, numbered on from `after`."""
+    return (
+        f"SELECT pattern_hash, printf('P%03d_%s', row_number() OVER (ORDER BY sample_id) + {after}, pattern_name_suffix)"
+        " AS pattern_name, pattern_signature, sample_id, 1 AS hit_count FROM (SELECT pattern_hash, pattern_signature,"
+        f" pattern_name_suffix, min(id) AS sample_id FROM {rows} GROUP BY ALL)"
+    )
+
+
+def _template_sql() -> str:
+    """The description of each pattern's sample, its own values replaced in the order of the placeholders."""
+    out = _DESCRIBE_SQL
+    for c, placeholder in reasons._PLACEHOLDERS:
+        nothing = f"{c} IS NULL OR trim({c}) = '' OR lower({c}) IN ('null', 'none', 'kosong', 'empty')"
+        never = r"'\b\B'"  # matches nothing
+        out = f"regexp_replace({out}, CASE WHEN {nothing} THEN {never} ELSE regexp_escape({c}) END, '{placeholder}', 'gi')"
+    return f"SELECT pattern_hash AS template_hash, {out} AS reason_template FROM detected WHERE id IN (SELECT sample_id FROM pt)"
+
+
+def _explained_sql(fresh: str = "id = sample_id") -> str:
+    filled = "reason_template"
+    for c, placeholder in reasons._PLACEHOLDERS:
+        filled = f"replace({filled}, '{placeholder}', {_SHOW(c)})"
+    return (
+        f"SELECT d.id AS id, d.file_id AS file_id, d.pattern_hash AS pattern_hash, CASE WHEN {fresh} THEN {_DESCRIBE_SQL}"
+        f" ELSE {filled} END AS reason, pattern_name, CASE WHEN {fresh} THEN 'LLM' ELSE 'CACHE' END AS source"
+        " FROM detected d JOIN pt ON d.pattern_hash = pt.pattern_hash JOIN templates ON d.pattern_hash = template_hash"
+    )
 
 
-@query(with_tables(*_REASON_TABLES, **_REASON_TEXTS) + _TABLE_SQL)
+_TABLE_SQL = _table_sql()
+_PATTERN_TEXTS = dict(**_REASON_TEXTS, pt=_TABLE_SQL, templates=_template_sql())
+_EARLIER = "file_id < 'f5'"
+
+
+@query(
+    with_tables(*_REASON_TABLES, **_PATTERN_TEXTS)
+    + "SELECT pt.*, reason_template FROM pt JOIN templates ON pattern_hash = template_hash"
+)
 def pattern_table(spark, sf_dir):
     made = reasons.new_patterns(reasons.detect_patterns(_pairs(spark, sf_dir)), _no_patterns(spark), _now())
-    return made.select("pattern_hash", "pattern_name", "pattern_signature", "sample_id", "hit_count")
+    return made.select("pattern_hash", "pattern_name", "pattern_signature", "sample_id", "hit_count", "reason_template")
 
 
-@query()
+@query(
+    with_tables(*_REASON_TABLES, **_PATTERN_TEXTS)
+    + "SELECT pattern_name, reason_template FROM pt JOIN templates ON pattern_hash = template_hash"
+)
 def pattern_templates(spark, sf_dir):
-    """The templates themselves; checked against hand-made cases in the tests."""
     made = reasons.new_patterns(reasons.detect_patterns(_pairs(spark, sf_dir)), _no_patterns(spark), _now())
     return made.select("pattern_name", "reason_template")
 
 
-@query()
+@query(with_tables(*_REASON_TABLES, **_PATTERN_TEXTS) + _explained_sql())
 def reason_explain(spark, sf_dir):
-    """Described first rows and filled-in templates; see the tests."""
+    """Described first rows and filled-in templates."""
     return reasons.explain(_pairs(spark, sf_dir), _no_patterns(spark), _now())
 
 
+@query(
+    with_tables(
+        *_REASON_TABLES, **_REASON_TEXTS,
+        known=_table_sql(f"(SELECT * FROM detected WHERE {_EARLIER})"),
+        fresh=_table_sql(
+            "(SELECT * FROM detected WHERE pattern_hash NOT IN (SELECT pattern_hash FROM known))",
+            "(SELECT count(*) FROM known)",
+        ),
+        pt="SELECT *, false AS is_new FROM known UNION ALL SELECT *, true FROM fresh",
+        templates=_template_sql(),
+    )
+    + _explained_sql("is_new AND id = sample_id")
+)
+def reason_explain_known(spark, sf_dir):
+    """All review rows, with the patterns of earlier files known already."""
+    pairs = settle(_pairs(spark, sf_dir), "pairs")
+    earlier = reasons.detect_patterns(pairs.filter(_EARLIER))
+    known = settle(reasons.new_patterns(earlier, _no_patterns(spark), _now()), "known")
+    return reasons.explain(pairs, known, _now())
+
+
 @query(
     with_tables(*_REASON_TABLES, **_REASON_TEXTS)
     + f"SELECT id, file_id, pattern_hash, {_DESCRIBE_SQL} AS reason,"
@@ -921,15 +975,15 @@ def pattern_hits(spark, sf_dir):
 
 
 @query(
-    with_tables(*_REASON_TABLES, **_REASON_TEXTS)
-    + "SELECT m.id, m.file_id, CASE WHEN d.id IS NULL THEN NULL ELSE concat('DRY_RUN_', d.pattern_name_suffix) END AS pattern_name,"
-      " CASE WHEN d.id IS NULL THEN m.reasoning_status ELSE 'COMPLETED' END AS reasoning_status"
-      " FROM manual_v m LEFT JOIN detected d ON m.id = d.id"
+    with_tables(*_REASON_TABLES, **_PATTERN_TEXTS, said=_explained_sql())
+    + "SELECT m.id, m.file_id, s.reason, s.pattern_name, s.source AS reasoning_source,"
+      " CASE WHEN s.id IS NULL THEN m.reasoning_status ELSE 'COMPLETED' END AS reasoning_status"
+      " FROM manual_v m LEFT JOIN said s ON m.id = s.id"
 )
 def reason_write_back(spark, sf_dir):
-    said = reasons.explain(_pairs(spark, sf_dir), _no_patterns(spark), _now(), dry_run=True)
+    said = reasons.explain(_pairs(spark, sf_dir), _no_patterns(spark), _now())
     return reasons.write_back(derive(spark, sf_dir, "manual_v"), said).select(
-        "id", "file_id", "pattern_name", "reasoning_status"
+        "id", "file_id", "reason", "pattern_name", "reasoning_source", "reasoning_status"
     )
 
 
@@ -1389,8 +1443,9 @@ def stream_match(spark, sf_dir):
     incoming = derive(spark, sf_dir, "incoming_v")
     graded = incoming.select("file_id").distinct().withColumn("grade", F.lit(1))
     tables.append_rows(graded, f"{work}/graded")
+    tables.write_curated(incoming, f"{work}/curated")
     jobs.watch_matches(
-        spark, incoming, f"{work}/graded", "file_id string, grade int", _master(spark, sf_dir),
+        spark, f"{work}/curated", f"{work}/graded", "file_id string, grade int", _master(spark, sf_dir),
         sc.default_rules(spark), f"{work}/results", f"{work}/state", _now(),
     ).awaitTermination()
     return tables.read_by_file(spark, f"{work}/results").select(
@@ -1399,9 +1454,7 @@ def stream_match(spark, sf_dir):
 
 
 @query(
-    with_tables(*_REASON_TABLES, **_REASON_TEXTS, pt=_TABLE_SQL)
-    + "SELECT d.id, d.file_id, d.pattern_hash, t.pattern_name, CASE WHEN d.id = t.sample_id THEN 'LLM' ELSE 'CACHE' END AS source"
-      " FROM detected d JOIN pt t ON d.pattern_hash = t.pattern_hash"
+    with_tables(*_REASON_TABLES, **_PATTERN_TEXTS) + _explained_sql()
 )
 def stream_reasons(spark, sf_dir):
     """Review pairs through the reason stream."""
@@ -1412,4 +1465,6 @@ def stream_reasons(spark, sf_dir):
     jobs.watch_reasons(
         spark, stream, f"{work}/patterns", f"{work}/explained", f"{work}/state", _now()
     ).awaitTermination()
-    return spark.read.parquet(f"{work}/explained").select("id", "file_id", "pattern_hash", "pattern_name", "source")
+    return spark.read.parquet(f"{work}/explained").select(
+        "id", "file_id", "pattern_hash", "reason", "pattern_name", "source"
+    )

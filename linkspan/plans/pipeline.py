@@ -73,8 +73,9 @@ def match(spark: SparkSession, store: Store, master: DataFrame, rules: DataFrame
     took = (time.perf_counter() - started) * 1000
     done = review.finish_sync(files, matching.file_sync_status(results), took)
     event = audit.job_event(matching.match_summary(results), "MATCHING", "SUCCESS", int(took), now)
-    tables.append_rows(event, store.audit)
+    event = settle(event, "event")  # the table of files is replaced below
     tables.replace_table(done, store.files, "files")
+    tables.append_rows(event, store.audit)  # last: a run cut short before leaves no event
     return tables.read_by_file(spark, store.results)
 
 

@@ -14,7 +14,8 @@ from linkspan.operators import reasons
 from linkspan.operators.clean import clean_incoming
 from linkspan.operators.grading import grade_files, profile_files
 from linkspan.operators.matching import link_files
-from linkspan.sources.intake import file_key, with_row_ids
+from linkspan.operators.spread import join_by_file
+from linkspan.sources.intake import file_key, read_curated, with_row_ids
 from linkspan.sources.scratch import settle
 from linkspan.sources.tables import overwrite_files
 
@@ -49,15 +50,18 @@ def watch_uploads(spark: SparkSession, folder: str, header: list[str], curated:
     )
 
 
-def watch_matches(spark: SparkSession, curated: DataFrame, graded: str, graded_schema: str,
+def watch_matches(spark: SparkSession, curated: str, graded: str, graded_schema: str,
                   master: DataFrame, rules: DataFrame, results: str, checkpoint: str,
                   now: Column) -> StreamingQuery:
-    """Newly graded files -> match results against the registry."""
+    """Newly graded files -> match results against the registry.
+
+    `curated` is a path, read in each trigger: files taken in later are seen too.
+    """
     stream = spark.readStream.schema(graded_schema).parquet(graded)
 
     def handle(batch: DataFrame, _: int) -> None:
         files = settle(batch.select("file_id", "grade", now.alias("upload_timestamp")), "files")
-        rows = curated.join(files.select("file_id"), "file_id", "left_semi")
+        rows = join_by_file(read_curated(spark, curated), files.select("file_id"), "id", "left_semi")
         overwrite_files(link_files(files, clean_incoming(rows), master, rules), results)
 
     return (
