@@ -18,8 +18,10 @@ Components are wanted, so pairs known to be connected are not looked at again:
 
 The order, the choice of l and the pivots only bear on speed. Hot buckets, copies and
 components are joined by broadcast of the few hot keys. A pair is formed only by a
-shingle whose places in the two orders leave room for enough common ones after it. Sets are 64-bit hashes of the
-shingles, and equal sets are found by 128 bits.
+shingle whose places in the two orders leave room for enough common ones after it, and
+only if the parities of the two sets (512 bits, each shingle flips one) differ in no more
+bits than similar sets differ in shingles; this bound holds always, so it loses no pair.
+Sets are 64-bit hashes of the shingles, and equal sets are found by 128 bits.
 
 Defined results: A-Z is lower-cased; words are runs of other than space and \\x09-\\x0D.
 Fewer than `words` words are one shingle; no word (or null) is the empty set, linked
@@ -47,6 +49,8 @@ CELLS = 1 << 20
 MOST_MATCHES = 8
 #: What verifying a candidate costs, against handling a row of a bucket.
 VERIFY = 20
+#: Names of the words of a set's parity.
+PARITY = [f"parity{i}" for i in range(8)]
 _FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -82,28 +86,47 @@ def node_of(own: np.ndarray) -> bytes:
     return b"".join(int(x.sum(dtype=np.uint64)).to_bytes(8, "big") for x in (a, b))
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Of each of 512 cells, whether it holds an odd number of the set's hashes; as eight numbers.
+
+    Two sets differ in at least as many shingles as their parities do in bits.
+    """
+    cells = (own >> np.uint64(32)) & np.uint64(64 * len(PARITY) - 1)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def few_differ(share: int) -> str:
+    """Whether the parities of two sets of n and n_b shingles allow them to be similar."""
+    bits = " + ".join(f"bit_count({p} ^ {p}_b)" for p in PARITY)
+    return f"{bits} <= n + n_b - 2 * cast(ceil({share} * (n + n_b) / {100 + share}) as int)"
+
+
 def survey(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """One pass: a row for each document (doc_id, hash, n, node), and the pieces of the sketch."""
-    schema = "doc_id long, hash long, n int, node binary, piece int, cells binary"
-    names = ["doc_id", "hash", "n", "node", "piece", "cells"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    """One pass: a row for each document (doc_id, hash, n, node, parity), and the pieces of the sketch."""
+    numbers = ", ".join(f"{p} long" for p in PARITY)
+    schema = f"doc_id long, hash long, n int, node binary, {numbers}, piece int, cells binary"
+    names = ["doc_id", "hash", "n", "node", *PARITY, "piece", "cells"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * len(PARITY), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.int64)
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, parities = [], [], []
             for run in steps(batch.column(2)):
                 sets = [shingles(t, words) for t in run]
                 sizes += map(len, sets)
                 nodes += map(node_of, sets)
+                parities += map(parity, sets)
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
             none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(nodes, pa.binary()), *none],
-                names,
-            )
+            odd = np.array(parities, np.int64).reshape(-1, len(PARITY))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(nodes, pa.binary()),
+                *(pa.array(odd[:, i]) for i in range(len(PARITY))), *none,
+            ], names)
         pieces = pieces_of(sketch)
-        empty = [pa.nulls(len(pieces), k) for k in kinds[:4]]
+        empty = [pa.nulls(len(pieces), k) for k in kinds[:-2]]
         yield pa.RecordBatch.from_arrays([*empty, *pieces.columns], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text)
@@ -279,12 +302,14 @@ def near_duplicates(
     by doc_id, null ones last, then by a hash of the text; documents without a shingle are.
     """
     seen = settle(survey(docs, text, words), "survey")
-    sets = seen.where("node is not null").select("doc_id", "hash", "n", "node")
+    found = seen.where("node is not null")
+    sets = found.select("doc_id", "hash", "n", "node")
     often = frequencies(table_of(seen.where("piece is not null").select("piece", "cells"), CELLS))
     total = sets.count()
     nodes = settle(
-        sets.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(rank()).alias("first"))
-        .withColumn("id", F.monotonically_increasing_id()), "nodes",
+        found.where("n > 0").groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min(rank()).alias("first"), *(F.min(p).alias(p) for p in PARITY)
+        ).withColumn("id", F.monotonically_increasing_id()), "nodes",
     )
     firsts = nodes.select("id", F.col("first.doc_id").alias("own_id"), F.col("first.hash").alias("own_hash"))
     rows = docs.select(*row_keys(text), F.col(text).alias("text"))
@@ -292,7 +317,7 @@ def near_duplicates(
     reps = rows.join(
         small(firsts, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
     ).select("id", "text")
-    links = _links(reps, often, share, words, broadcast_rows)
+    links = _links(reps, nodes.select("id", *PARITY), often, share, words, broadcast_rows)
     labels = components(links)
     known = nodes.join(labels, "id", "left").select(
         "node", "n", "first", F.coalesce("label", "id").alias("label")
@@ -314,7 +339,9 @@ def near_duplicates(
     ))
 
 
-def _links(reps: DataFrame, often: np.ndarray, share: int, words: int, broadcast_rows: int) -> DataFrame:
+def _links(
+    reps: DataFrame, parities: DataFrame, often: np.ndarray, share: int, words: int, broadcast_rows: int,
+) -> DataFrame:
     """Links enough to connect all that is connected."""
     every = settle(prefixes(reps, often, share, words), "prefixes")
     counts = settle(every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
@@ -341,10 +368,10 @@ def _links(reps: DataFrame, often: np.ndarray, share: int, words: int, broadcast
     several = members.groupBy("token").agg(
         F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label")).alias("largest")
     ).where("labels > 1").select("token", F.col("largest.label").alias("largest"))
-    apart = settle(placed.join(several, "token"), "apart")
-    others = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in [*other, "label"]))
+    apart = settle(placed.join(several, "token").join(parities, "id"), "apart")
+    others = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in [*other, "label", *PARITY]))
     crossing = apart.where("label <> largest").join(others, "token").where(
-        f"label <> label_b and (label_b = largest or label < label_b) and {in_reach(share)}"
+        f"label <> label_b and (label_b = largest or label < label_b) and {in_reach(share)} and {few_differ(share)}"
     )
     found = settle(crossing.select(
         *_ordered(F.struct("id", "n"), F.struct(F.col("id_b").alias("id"), F.col("n_b").alias("n"))),
