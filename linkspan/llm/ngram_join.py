@@ -369,8 +369,16 @@ def _links(
         F.count(F.lit(1)).alias("labels"), F.max(F.struct("members", "label")).alias("largest")
     ).where("labels > 1").select("token", F.col("largest.label").alias("largest"))
     apart = settle(placed.join(several, "token").join(parities, "id"), "apart")
-    others = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in [*other, "label", *PARITY]))
-    crossing = apart.where("label <> largest").join(others, "token").where(
+    # Of buckets with the same nodes one forms all pairs of the others: that of the first
+    # shingle, whose places are the smallest in every node.
+    held_by = apart.groupBy("token").agg(
+        F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("id")).alias("x"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min(F.struct("id", "pos")).alias("place"),
+    )
+    chosen = held_by.groupBy("held", "x", "y").agg(F.min_by("token", "place").alias("token")).select("token")
+    chosen = settle(apart.join(chosen, "token", "left_semi"), "chosen")
+    others = chosen.select("token", *(F.col(c).alias(f"{c}_b") for c in [*other, "label", *PARITY]))
+    crossing = chosen.where("label <> largest").join(others, "token").where(
         f"label <> label_b and (label_b = largest or label < label_b) and {in_reach(share)} and {few_differ(share)}"
     )
     found = settle(crossing.select(
