@@ -49,6 +49,8 @@ CELLS = 1 << 20
 MOST_MATCHES = 8
 #: What verifying a candidate costs, against handling a row of a bucket.
 VERIFY = 20
+#: Edges, of 16 bytes each, that one task merges.
+FEW_EDGES = 100_000
 #: Names of the words of a set's parity.
 PARITY = [f"parity{i}" for i in range(8)]
 _FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -263,16 +265,19 @@ def similar(pairs: DataFrame, reps: DataFrame, share: int, words: int, broadcast
     return checked(left.select("a", "b"), packed, close, [], "sets")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """id, label of every node with an edge; nodes that are connected share a label.
 
     Each round merges every node with its smallest neighbour in a random order, so that
-    about half of the nodes go, and ends when no edge is left.
+    about half of the nodes go, and ends when no edge is left. Rounds with at most `few`
+    edges left work on them in one task, without a shuffle.
     """
     edges = settle(edges.where("a <> b").distinct(), "edges")
     labels, step = None, 0
-    while not edges.isEmpty():
+    while left := edges.count():
         step += 1
+        if left <= few:
+            edges = edges.coalesce(1)
         order = F.xxhash64(F.col("v"), F.lit(step))
         both = edges.select(F.explode(F.array(
             F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")),
@@ -280,6 +285,8 @@ def components(edges: DataFrame) -> DataFrame:
         )).alias("e")).select("e.*")
         goes = both.groupBy("u").agg(F.min(F.struct(order.alias("o"), "v")).alias("to")).select("u", F.col("to.v").alias("goal"))
         goes = settle(goes, "goes")
+        if left <= few:
+            goes = goes.coalesce(1)
         if labels is None:
             labels = goes.select(F.col("u").alias("id"), F.col("goal").alias("label"))
         else:

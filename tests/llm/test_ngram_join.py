@@ -72,3 +72,24 @@ def test_nulls_repeats_and_names(spark):
     assert kept.columns == docs.columns and kept.count() == 4
     empty = docs.where("false")
     assert ngram_join.near_duplicates(empty).count() == 0
+
+
+def test_components_in_one_task_or_many(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(0, i) for i in range(300, 340)]
+    edges += [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
+    root = {}
+    for a, b in edges:
+        if a != b:
+            one, two = root.setdefault(a, {a}), root.setdefault(b, {b})
+            one |= two
+            root.update(dict.fromkeys(two, one))
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for few in (0, 30, 100_000):
+        labels = {}
+        for row in ngram_join.components(df, few).collect():
+            labels.setdefault(row.label, set()).add(row.id)
+        found = {tuple(sorted(ids)) for ids in labels.values()}
+        assert found == {tuple(sorted(ids)) for ids in root.values()}
+    empty = spark.createDataFrame([(3, 3)], "a long, b long")
+    assert ngram_join.components(empty).count() == 0
