@@ -262,3 +262,17 @@ def test_pipeline(spark):
     )
     for row in left.limit(20).collect():
         assert hashlib.sha256(known.decode_bytes(row["ids"])).hexdigest() == row["decoded_sha256"]
+
+
+def test_copies_leave_no_fragment(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(8))
+    own = ["\n".join(line() for _ in range(rng.randrange(2, 14))) for _ in range(60)]
+    own += ["\n" + own[0] + "x\n\n", line() + "\n" + line() + "\n", line()]
+    rows = [(i, t, len(t)) for i, t in enumerate([*own, *own])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_chunks(spark, docs, SF).collect()}
+    # a text of one line is no run of lines: its copy stays whole, for the Jaccard join
+    assert {i for i in left if i >= len(own)} == {len(rows) - 1} and left[len(rows) - 1] == own[-1]
+    assert {i: left[i] for i in range(60)} == dict(enumerate(own[:60]))
