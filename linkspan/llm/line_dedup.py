@@ -3,13 +3,15 @@
 Each line has a hash, the first 32 bits of its MD5. A rolling hash over the last two
 lines, 31 * previous + own modulo 2**32, ends a chunk where it is divisible by `every`;
 so chunks depend on their own lines only, and lines put in or left out elsewhere don't
-shift them. With `least` a chunk ends only once it holds so many lines with a word, and a
-tail with fewer joins the chunk before; a change then moves the ends up to the next one
-that both texts have. At 2 no chunk of a text with two such lines is too short to be
-compared, so that a later exact copy goes as a whole; at 0, the default, one-line chunks
-stay. Chunks with two or more lines with a word are compared globally by digest;
-of those found more than once, the texts are then compared byte by byte with the first
-occurrence (by doc_id, then chunk), which stays. The others are removed with their lines.
+shift them. With `every` 0 each two neighbouring lines with a word are a chunk, with what
+is between them; chunks then overlap, and every run of two or more such lines that an
+earlier place has goes, wherever it begins. Single lines and passages that begin or end
+inside a line are beyond both.
+
+Chunks with two or more lines with a word are compared globally by digest; of those found more than once, the texts are then compared byte by byte with the first
+occurrence (by doc_id, then chunk), which stays. The others are removed with their lines;
+a line also goes if only one of the chunks it is in does. What is removed is kept at an
+earlier place, each line by itself where chunks overlap.
 
 Only digests are shuffled for the counts. The texts of repeated chunks are found through
 a bitmap of fixed size (`CELLS`), which may let other chunks pass that the join then
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,33 +40,32 @@ from linkspan.llm.common import (
 from linkspan.sources.scratch import settle
 
 EVERY = 4
-LEAST = 0
 CELLS = 1 << 22
 
 
-def chunks(data: bytes, every: int = EVERY, least: int = LEAST) -> list[tuple[int, int]]:
+def chunks(data: bytes, every: int = EVERY) -> list[tuple[int, int]]:
     """First and last line (exclusive) of each chunk."""
-    found, first, before, worded = [], 0, 0, 0
+    found, first, before = [], 0, 0
     lines = data.split(b"\n")
+    if every == 0:
+        worded = [i for i, line in enumerate(lines) if line.strip()]
+        return [(i, j + 1) for i, j in pairwise(worded)]
     for i, line in enumerate(lines):
         own = int.from_bytes(hashlib.md5(line).digest()[:4], "big")
-        worded += bool(line.strip())
-        if worded >= least and (31 * before + own) % (1 << 32) % every == 0:
+        if (31 * before + own) % (1 << 32) % every == 0:
             found.append((first, i + 1))
-            first, worded = i + 1, 0
+            first = i + 1
         before = own
     if first < len(lines):
-        if worded < least and found:
-            first = found.pop()[0]
         found.append((first, len(lines)))
     return found
 
 
-def _multi_line(data: bytes, every: int, least: int) -> list[tuple[int, bytes, bytes]]:
+def _multi_line(data: bytes, every: int) -> list[tuple[int, bytes, bytes]]:
     """(number, digest, bytes) of the chunks with two or more lines with a word."""
     lines = data.split(b"\n")
     found = []
-    for seq, (first, last) in enumerate(chunks(data, every, least)):
+    for seq, (first, last) in enumerate(chunks(data, every)):
         if last - first > 1 and sum(1 for line in lines[first:last] if line.strip()) > 1:
             body = b"\n".join(lines[first:last])
             found.append((seq, hashlib.md5(body).digest(), body))
@@ -75,9 +77,7 @@ def _cell(digests: pa.Array) -> np.ndarray:
     return (heads % np.uint64(CELLS)).astype(np.int64)
 
 
-def occurrences(
-    docs: DataFrame, text: str = "text", every: int = EVERY, passing: np.ndarray | None = None, least: int = LEAST,
-) -> DataFrame:
+def occurrences(docs: DataFrame, text: str = "text", every: int = EVERY, passing: np.ndarray | None = None) -> DataFrame:
     """doc_id, hash, seq, digest of every multi-line chunk.
 
     With `passing`, only of those whose cell is set there, and with their bytes (body).
@@ -92,7 +92,7 @@ def occurrences(
             rows = []
             for run in steps(batch):
                 for value in run:
-                    own = _multi_line((value or "").encode(), every, least)
+                    own = _multi_line((value or "").encode(), every)
                     if bodies and own:
                         ok = sent.value[_cell(pa.array([c[1] for c in own], pa.binary()))]
                         own = [c for c, let in zip(own, ok, strict=True) if let]
@@ -112,16 +112,16 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
     return table_of(digests.mapInArrow(mark, "piece int, cells binary"), CELLS) > 0
 
 
-def repeated(docs: DataFrame, text: str = "text", every: int = EVERY, least: int = LEAST) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", every: int = EVERY) -> DataFrame:
     """doc_id, hash, seq of the chunks to remove."""
-    every_chunk = settle(occurrences(docs, text, every, least=least), "chunks")
+    every_chunk = settle(occurrences(docs, text, every), "chunks")
     distinct = every_chunk.dropDuplicates(["doc_id", "hash", "seq"])
     groups = settle(
         distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank("seq")).alias("first")).where("n > 1"),
         "groups",
     )
     total = every_chunk.count()
-    bodies = occurrences(docs, text, every, _bitmap(groups.select("digest")), least)
+    bodies = occurrences(docs, text, every, _bitmap(groups.select("digest")))
     bodies = settle(bodies.dropDuplicates(["doc_id", "hash", "seq"]), "bodies")
     known = settle(join_counted(bodies, groups, "digest", total), "known")
     is_first = rank("seq").eqNullSafe(F.col("first"))
@@ -131,11 +131,9 @@ def repeated(docs: DataFrame, text: str = "text", every: int = EVERY, least: int
     return compared.where("body = first_body").select("doc_id", "hash", "seq")
 
 
-def dedup(
-    docs: DataFrame, text: str = "text", every: int = EVERY, broadcast_rows: int = 1_000_000, least: int = LEAST,
-) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", every: int = EVERY, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents without their repeated chunks, with lines, kept_lines and removed_chunks."""
-    gone = settle(repeated(docs, text, every, least), "repeated")
+    gone = settle(repeated(docs, text, every), "repeated")
     lists = gone.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
     if small(gone, broadcast_rows) is not gone:
         lists = F.broadcast(lists)  # its size is that of `gone` at most
@@ -150,9 +148,8 @@ def dedup(
                 lines = data.split(b"\n")
                 kept = lines
                 if drop:
-                    kept = [
-                        x for i, (a, b) in enumerate(chunks(data, every, least)) if i not in drop for x in lines[a:b]
-                    ]
+                    cut = {k for i, (a, b) in enumerate(chunks(data, every)) if i in drop for k in range(a, b)}
+                    kept = [x for k, x in enumerate(lines) if k not in cut]
                 new = b"\n".join(kept).decode() if value.is_valid else None
                 out.append({"text": new, "lines": len(lines), "kept": len(kept), "removed": len(drop)})
             yield pa.array(out, pa.struct([

@@ -276,3 +276,31 @@ def test_copies_leave_no_fragment(spark):
     # a text of one line is no run of lines: its copy stays whole, for the Jaccard join
     assert {i for i in left if i >= len(own)} == {len(rows) - 1} and left[len(rows) - 1] == own[-1]
     assert {i: left[i] for i in range(60)} == dict(enumerate(own[:60]))
+
+
+def test_repeated_runs_of_lines_go(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(10)
+    pool = ["".join(rng.choice("abc ") for _ in range(20)) + str(i) for i in range(30)] + ["", "  "]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 16))) for _ in range(120)]
+    for i in range(60, 120):  # a run of an earlier text, in the middle of another
+        own, other = texts[i].split("\n"), texts[i - 60].split("\n")
+        at = rng.randrange(len(other))
+        texts[i] = "\n".join(own[:3] + other[at:at + rng.randrange(2, 6)] + own[3:])
+    seen, expected = set(), {}
+    for i, text in enumerate(texts):
+        lines, cut = text.split("\n"), set()
+        worded = [k for k, x in enumerate(lines) if x.strip()]
+        for a, b in zip(worded, worded[1:]):
+            if (run := tuple(lines[a:b + 1])) in seen:
+                cut |= set(range(a, b + 1))
+            seen.add(run)
+        left = "\n".join(x for k, x in enumerate(lines) if k not in cut)
+        if left.strip() or not cut:
+            expected[i] = (left, len(left))
+    docs = spark.createDataFrame(
+        [(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long"
+    ).repartition(5)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_chunks(spark, docs, SF).collect()}
+    assert got == expected
+    assert {x for t in texts for x in t.split("\n") if x.strip()} <= {x for t, _ in got.values() for x in t.split("\n")}
