@@ -116,6 +116,14 @@ class Encoder:
 _made: dict[str, Encoder] = {}
 
 
+def _encoder(sent, pattern: str, key: str) -> Encoder:
+    if key not in _made:
+        json, tokens = sent.value
+        _made.clear()
+        _made[key] = Encoder(json, pattern, np.array([len(t) for t in tokens]))
+    return _made[key]
+
+
 class Vocabulary:
     """The parsed ranks, sent once to the executors. `spark` serves to make the broadcast."""
 
@@ -134,11 +142,7 @@ class Vocabulary:
 
         @F.arrow_udf(", ".join(f"{n} array<int>" for n in names))
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            if key not in _made:
-                json, tokens = sent.value
-                _made.clear()
-                _made[key] = Encoder(json, pattern, np.array([len(t) for t in tokens]))
-            encoder = _made[key]
+            encoder = _encoder(sent, pattern, key)
             for batch in batches:
                 ids, counts, starts, ends = [], [], [], []
                 for run in steps(batch, 500_000):
@@ -157,6 +161,19 @@ class Vocabulary:
 
         return encode(text)
 
+    def counting(self, text: Column) -> Column:
+        """The number of the text's tokens."""
+        sent, pattern, key = self.sent, self.pattern, self.key
+
+        @F.arrow_udf("long")
+        def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = _encoder(sent, pattern, key)
+            for batch in batches:
+                counts = [encoder.encode([t or "" for t in run])[1] for run in steps(batch, 500_000)]
+                yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
+
+        return count(text)
+
     def decoding(self, ids: Column) -> Column:
         """The tokens' bytes. Null has none."""
         sent = self.sent

@@ -1,6 +1,8 @@
 """Chats as training text, in windows of a token budget.
 
-Turns are numbered and their tokens summed up along each conversation. The sums choose
+Turns are numbered and their tokens summed up along each conversation: those of a
+vocabulary, counted over each turn as it is written (`counted_tokens`), or an estimate
+from the bytes (`rough_tokens`), with which the budget is one of bytes. The sums choose
 turn-aligned windows: a turn that needs more than half of the room stands alone, the
 others go to the window that their sum so far falls into, each half the room wide, so
 that no window passes the budget unless a single turn does. Every window begins with the
@@ -33,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkspan.llm.bpe import Vocabulary
+
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 #: Control strings of common templates; fixed values.
 CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -76,10 +80,22 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def rough_tokens(role: Column, text: Column) -> Column:
-    """Tokens of a turn: its marks, and a token for each four bytes."""
+    """An estimate without a vocabulary: the turn's marks, and a token for each four bytes."""
     return (F.lit(6) + F.ceil((F.octet_length(role) + F.octet_length(text)) / 4)).cast("long")
 
 
+def counted_tokens(vocabulary: Vocabulary):
+    """For `numbered`: the vocabulary's tokens of each turn as it is written, marks and escapes included."""
+
+    @F.arrow_udf("string")
+    def written(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for roles, texts in batches:
+            turns = zip(roles, texts, strict=True)
+            yield pa.array([render([(True, r.as_py(), t.as_py())])[0] for r, t in turns], pa.string())
+
+    return lambda role, text: vocabulary.counting(written(role, text))
+
+
 def numbered(rows: DataFrame, tokens=rough_tokens) -> DataFrame:
     """key, conv_id, n (from 0), role, text, tokens, before (tokens of earlier turns)."""
     turns = rows.select(

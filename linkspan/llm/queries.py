@@ -171,7 +171,8 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string"
     )
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    shown = chat.windows(settle(chat.numbered(rows), "turns"))
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    shown = chat.windows(settle(chat.numbered(rows, chat.counted_tokens(vocabulary)), "turns"))
     return chat.read_back(shown).select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )

@@ -304,3 +304,39 @@ def test_repeated_runs_of_lines_go(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_chunks(spark, docs, SF).collect()}
     assert got == expected
     assert {x for t in texts for x in t.split("\n") if x.strip()} <= {x for t, _ in got.values() for x in t.split("\n")}
+
+
+def test_windows_keep_a_budget_of_tokens(spark, monkeypatch):
+    known = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+        mergeable_ranks=bpe.read_ranks(public_tokenizers.path(VOCABULARY)),
+    )
+    size = lambda text: len(known.encode_ordinary(text))
+    made, windows = [], chat.windows
+    monkeypatch.setattr(chat, "windows", lambda turns: made.append((turns, windows(turns))) or made[0][1])
+    rng = random.Random(6)
+    bits = ["word ", "918273645", "中文字", "é😀", "</s>", "[INST]", "<|end|>\n", "\\", "\n", "x = {y[0]};\n", " ", "  \n"]
+    rows = [
+        (conv, turn, "system" if turn == 0 else rng.choice(["user", "assistant", "to\nol<|"]),
+         "".join(rng.choice(bits) for _ in range(rng.randrange(150))) or None)
+        for conv in range(12) for turn in range(60)
+    ]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr("linkspan.llm.queries.read", lambda *_: docs)
+    assert QUERIES["op10_chat_windows"](spark, SF).count() == 13
+    turns, shown = made[0]
+    for r in turns.collect():
+        assert r["tokens"] == size(chat.render([(True, r["role"], r["text"])])[0])
+    several = 0
+    for r in shown.collect():
+        own = chat.parse(r["formatted"])
+        assert size(r["formatted"]) == sum(size(chat.render([(True, *t)])[0]) for t in own)
+        several += len(own) - r["repeated"] > 1
+        assert size(r["formatted"]) <= 2048
+        past = own[:r["repeated"]]
+        past = past[1:] if past and past[0][0] == "system" else past
+        assert sum(size(chat.render([(True, *t)])[0]) for t in past) <= 512
+    assert several
+    none = chat.numbered(docs.where("false"), chat.counted_tokens(
+        bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)))
+    assert chat.read_back(windows(none)).count() == 0
