@@ -412,9 +412,26 @@ def _ordered(one, two) -> list:
 def kept(docs: DataFrame, found: DataFrame, text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The first document of each component, unchanged. `found`: stored, as from `near_duplicates`.
 
-    Of repeated rows one stays.
+    Rows that agree in doc_id and text are first together and all stay; `once` leaves one.
     """
     gone = found.where(~F.col("is_first")).select(F.col("doc_id").alias("own_id"), F.col("hash").alias("own_hash")).distinct()
     own = docs.select(F.struct("*").alias("row"), *row_keys(text))
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
     return own.join(small(gone, broadcast_rows), same, "left_anti").select("row.*")
+
+
+def once(docs: DataFrame, found: DataFrame, text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """What `kept` leaves, with one of the rows that agree in doc_id (or have none) and text.
+
+    `found`: as for `kept`. Only texts that occur more than once are shuffled, and of those
+    one for each task.
+    """
+    twice = found.where("is_first").groupBy(F.col("doc_id").alias("own_id"), F.col("hash").alias("own_hash")).agg(
+        F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("own_id", "own_hash")
+    twice = small(settle(twice, "twice"), broadcast_rows)
+    own = docs.select(F.struct("*").alias("row"), *row_keys(text), F.col(text).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
+    single = own.join(twice, same, "left_anti")
+    several = own.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several).select("row.*")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from linkspan.llm import ngram_join
 
 
@@ -93,3 +95,19 @@ def test_components_in_one_task_or_many(spark):
         assert found == {tuple(sorted(ids)) for ids in root.values()}
     empty = spark.createDataFrame([(3, 3)], "a long, b long")
     assert ngram_join.components(empty).count() == 0
+
+
+def test_repeated_rows_stay_once(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(None, "a b c d e f g", 1), (7, "a b c d e f g", 2), (7, "a b c d e f g", 2), (9, None, 3), (None, None, 4)]
+    rows += [(None, "p q r s t u v", 5)] * 20 + [(3, "x y", 6), (8, "", 8), (8, "", 9), (11, "k l m n o p", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumnRenamed("n", "hash").repartition(4)
+    expected = [(None, None), (None, "p q r s t u v"), (3, "x y"), (7, "a b c d e f g"), (8, ""), (9, None), (11, "k l m n o p")]
+    left = corpus_pipeline.one_of_each(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(
+        f"Row(doc_id={i}, text={t!r})" for i, t in expected)
+    # the way beyond the broadcast bound gives the same
+    near = ngram_join.near_duplicates(docs).cache()
+    assert ngram_join.once(ngram_join.kept(docs, near), near, broadcast_rows=0).count() == len(expected)
+    assert corpus_pipeline.one_of_each(spark, docs.where("false"), "").count() == 0
