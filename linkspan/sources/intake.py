@@ -14,9 +14,21 @@ from linkspan.sources.tables import read_by_file
 SPLITS_SENT = 100_000  # split offsets sent to every task up to here
 
 
-def file_key(path: Column) -> Column:
-    """Eight hex digits that name an upload; the same file gets the same key."""
-    return F.substring(F.sha2(path, 256), 1, 8)
+def file_key() -> Column:
+    """Names the upload that a row is read from: 64 hex digits from path, time of change and length.
+
+    The same file gets the same key; another one put under its path gets its own.
+    """
+    changed = F.unix_micros("_metadata.file_modification_time").cast("string")
+    length = F.col("_metadata.file_size").cast("string")
+    return F.sha2(F.concat_ws("\n", "_metadata.file_path", changed, length), 256)
+
+
+def one_key_each(files: DataFrame) -> None:
+    """Fail if two paths of a load (file_id, path) share a key: one would replace the other."""
+    same = files.groupBy("file_id").agg(F.min("path").alias("one"), F.max("path").alias("other")).where("one <> other")
+    if pair := same.first():
+        raise ValueError(f"{pair['one']} and {pair['other']} have the same key {pair['file_id']}")
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -30,7 +42,7 @@ def _read_one_layout(spark: SparkSession, paths: list[str], header: list[str], m
     return spark.read.schema(fields).csv(
         paths, header=True, multiLine=multi_line, enforceSchema=True
     ).select(
-        "*", F.col("_metadata.file_path").alias("path"),
+        "*", F.col("_metadata.file_path").alias("path"), file_key().alias("upload_key"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
 
@@ -65,6 +77,8 @@ def read_uploads(spark: SparkSession, folder: str, multi_line: bool = False) ->
     together and the layouts put together by column name.  `header` holds each
     file's own column list.  Text columns keep leading zeros.
     """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)  # contents aren't read
+    one_key_each(listed.select(file_key().alias("file_id"), F.col("_metadata.file_path").alias("path")))
     layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for path in csv_files(spark, folder):
         names = spark.read.csv(path, header=True, multiLine=multi_line).columns
@@ -73,7 +87,7 @@ def read_uploads(spark: SparkSession, folder: str, multi_line: bool = False) ->
     for header, paths in layouts.items():
         clean = [name.strip().lower() for name in header]
         part = with_row_ids(_read_one_layout(spark, paths, clean, multi_line)).select(
-            file_key(F.col("path")).alias("file_id"), "path", "id", *clean,
+            F.col("upload_key").alias("file_id"), "path", "id", *clean,
             F.lit(",".join(clean)).alias("header"),
         )
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)

@@ -15,7 +15,7 @@ from linkspan.operators.clean import clean_incoming
 from linkspan.operators.grading import grade_files, profile_files
 from linkspan.operators.matching import link_files
 from linkspan.operators.spread import join_by_file
-from linkspan.sources.intake import file_key, read_curated, with_row_ids
+from linkspan.sources.intake import file_key, one_key_each, read_curated, with_row_ids
 from linkspan.sources.scratch import settle
 from linkspan.sources.tables import overwrite_files
 
@@ -30,17 +30,19 @@ def watch_uploads(spark: SparkSession, folder: str, header: list[str], curated:
     stream = (
         spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", "*.csv")
         .csv(folder)
-        .select("*", F.col("_metadata.file_path").alias("path"),
+        .select("*", F.col("_metadata.file_path").alias("path"), file_key().alias("upload_key"),
                 F.col("_metadata.file_block_start").alias("block_start"))
     )
 
     def handle(batch: DataFrame, _: int) -> None:
         named = [c.strip().lower() for c in header]
         rows = with_row_ids(batch).select(
-            file_key(F.col("path")).alias("file_id"), "id",
+            F.col("upload_key").alias("file_id"), "path", "id",
             *[F.col(f"`{raw}`").alias(name) for raw, name in zip(header, named)],
         )
-        kept = settle(rows, "uploads")
+        placed = settle(rows, "uploads")
+        one_key_each(placed.select("file_id", "path"))
+        kept = placed.drop("path")
         overwrite_files(kept, curated)
         overwrite_files(grade_files(profile_files(kept), named).select("file_id", "grade", "total_rows"), grades)
 

@@ -173,3 +173,20 @@ def test_registry_rows_once(spark):
     master = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in codes.MASTER_COLUMNS))
     found = registry_rows(master, spark.createDataFrame([("1",), ("1",)], "nik string")).collect()
     assert [set(r) for r in found] == [{"1", "a"}]
+
+
+def test_uploads_have_keys_of_their_own(spark, tmp_path, monkeypatch):
+    uploads, store = tmp_path / "up", pipeline.Store(str(tmp_path / "store"))
+    uploads.mkdir()
+    (uploads / "a.csv").write_text("nik,nama\n1,x\n")
+    (uploads / "b.csv").write_text("nik,nama\n1,x\n")
+    take = lambda: pipeline.take_in(spark, str(uploads), store, "office", now()).collect()
+    first = {r["file_id"] for r in take()}
+    assert len(first) == 2 and all(len(i) == 64 for i in first)
+    assert {r["file_id"] for r in take()} == first  # the same files again
+    (uploads / "a.csv").write_text("nik,nama\n1,x\n2,y\n")
+    assert sorted((r["original_filename"], r["row_count"]) for r in take()) == [("a.csv", 1), ("a.csv", 2), ("b.csv", 1)]
+    assert intake.read_curated(spark, store.curated).count() == 4
+    monkeypatch.setattr(intake, "file_key", lambda: F.lit("k"))
+    with pytest.raises(ValueError, match="same key k"):
+        intake.read_uploads(spark, str(uploads))
