@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Code points that one step of a vectorised Python function works on at a time.
 STEP_CHARS = 4_000_000
@@ -51,9 +53,86 @@ def steps(texts: pa.Array, most: int = STEP_CHARS) -> Iterator[list[str | None]]
         yield run
 
 
-def words_of(data: bytes) -> list[bytes]:
-    """Runs of bytes other than space and \\x09-\\x0D."""
-    return data.split()
+def map_steps(
+    df: DataFrame, keep: list[str], column: Column, work: Callable[[list], list[pa.Array]], made: str, most: int = 500_000,
+) -> DataFrame:
+    """The kept columns, and those that `work` makes of the values of `column` (texts or lists).
+
+    Each step of bounded size leaves the task as a batch of its own, so that what a task
+    holds of its results doesn't grow with the batches that come in.
+    """
+    new = StructType.fromDDL(made)
+    schema = StructType([*(df.schema[c] for c in keep), *new.fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for values in steps(batch.column(batch.num_columns - 1), most):
+                rest = batch.slice(at, len(values)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*rest, *work(values)], names)
+                at += len(values)
+
+    return df.select(*(F.col(f"`{c}`") for c in keep), column.alias(unused("value", df))).mapInArrow(run, schema)
+
+
+def without(df: DataFrame, *gone: str) -> list[str]:
+    """The columns other than those, whatever the case."""
+    return [c for c in df.columns if c.lower() not in {g.lower() for g in gone}]
+
+
+class Known:
+    """Lists of ids of strings, each made once while it is remembered.
+
+    `make` gives all ids of some strings in a row, and the number of each one's. Above
+    `most` strings, or sixteen times as many characters, all but the most used go.
+    """
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.make, self.most = make, most
+        self.index: dict[str, int] = {}
+        self.chars = 0
+        self.ids = np.zeros(0, np.int32)
+        self.counts = self.starts = self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        words = list(self.index)
+        best = np.sort(np.argsort(-self.uses, kind="stable")[:self.most // 2])
+        best = best[self.uses[best] > 1]
+        while self.most < sum(len(words[i]) for i in best) / 8:
+            best = best[:len(best) // 2]
+        counts = self.counts[best]
+        self.ids = self.ids[np.repeat(self.starts[best] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        self.index = {words[i]: n for n, i in enumerate(best)}
+        self.chars = sum(map(len, self.index))
+        self.counts, self.starts, self.uses = counts, np.cumsum(counts) - counts, self.uses[best] // 2
+
+    def lookup(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each string's."""
+        if len(self.index) > self.most or self.chars > 16 * self.most:
+            self._forget()
+        at = np.fromiter(map(self.index.get, strings, repeat(-1)), np.int64, len(strings))
+        if len(missing := np.flatnonzero(at < 0)):
+            new = list({strings[i] for i in missing})
+            ids, counts = self.make(new)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            self.chars += sum(map(len, new))
+            at[missing] = [self.index[strings[i]] for i in missing]
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(counts.sum())]
+        return ids, counts
+
+
+def lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Lists of so many of the values each."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
 def table_of(df: DataFrame, cells: int, dtype: str = "int64", piece: int = 1 << 14) -> np.ndarray:

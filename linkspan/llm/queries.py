@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm import bpe, chat, decontam, langid, line_dedup, ngram_join, pii, quality, substring_dedup, warc
+from linkspan.llm import (
+    bpe, chat, decontam, langid, line_dedup, ngram_join, pieces, pii, quality, substring_dedup, warc,
+)
 from linkspan.llm.common import read
 from linkspan.sources.scratch import fresh_path, settle
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +234,17 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.Model(spark, public_tokenizers.path(PIECE_MODEL))
+    tokens = pieces.encode(read(spark, sf_dir, "documents"), model, decoded=True, keep=["doc_id"])
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": language,
     "op2_line_dedup": line_chunks,
@@ -242,6 +256,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join,
     "op9_warc": warc_roundtrip,
     "op10_chat_windows": chat_windows,
+    "op13_sentencepiece": piece_roundtrip,
 }
 
 CHECKS: dict[str, str] = {
