@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspan.llm import (
-    bpe, chat, decontam, langid, line_dedup, ngram_join, pieces, pii, quality, substring_dedup, warc,
+    bpe, chat, decontam, langid, line_dedup, ngram_join, pieces, pii, quality, substring_dedup, trie, warc,
 )
 from linkspan.llm.common import read
 from linkspan.sources.scratch import fresh_path, settle
@@ -245,6 +245,56 @@ def piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(concat(length(coalesce(role, '')), ':', role, text))) - 1 AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), g AS (
+  SELECT list(e ORDER BY i) AS remainders FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS e
+    FROM (SELECT unnest(range(256)) AS i))
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+           lambda a, b: xor(a >> 8, remainders[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), g
+), s AS (
+  SELECT c.conv_id, 0 AS part, n, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND n < h
+  UNION ALL SELECT c.conv_id, 1, n, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE n >= h
+), p AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) AS d,
+         md5(concat(length(role), ':', role, text)) AS e, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+  FROM s
+), k AS (
+  SELECT conv_id, d, words, string_agg(e, '') OVER (PARTITION BY conv_id ORDER BY d) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS size FROM p
+  UNION ALL SELECT c.conv_id, 0, 0, '', (SELECT count(*) FROM p WHERE p.conv_id = c.conv_id) FROM c
+), m AS (
+  SELECT k, max(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '') AS ends
+  FROM k GROUP BY 1
+), a AS (
+  SELECT m.*, parent.conv_id AS parent_conv_id,
+         (SELECT count(*) FROM m x WHERE x.depth = m.depth + 1 AND left(x.k, length(m.k)) = m.k) AS n_children
+  FROM m LEFT JOIN m parent ON m.depth = parent.depth + 1 AND parent.k = left(m.k, greatest(length(m.k) - 32, 0))
+), b AS (
+  SELECT k.k, sum(CASE WHEN a.conv_id = k.conv_id AND n_children = 0 THEN 1 ELSE 0 END) OVER up AS leaves,
+         sum(CASE WHEN a.conv_id = k.conv_id THEN (n_convs - 1) * a.words ELSE 0 END) OVER up AS saved
+  FROM k JOIN a USING (k) WINDOW up AS (PARTITION BY k.conv_id ORDER BY d DESC)
+), n AS (
+  SELECT k, sum(leaves) AS n_leaves, sum(saved) AS saved_tokens FROM b GROUP BY 1
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM a JOIN n USING (k)
+"""
+
+
 QUERIES = {
     "op1_language_id": language,
     "op2_line_dedup": line_chunks,
@@ -256,6 +306,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join,
     "op9_warc": warc_roundtrip,
     "op10_chat_windows": chat_windows,
+    "op12_prefix_trie": conversation_trie,
     "op13_sentencepiece": piece_roundtrip,
 }
 
@@ -265,4 +316,5 @@ CHECKS: dict[str, str] = {
     "op7_decontamination": DECONTAMINATION_SQL,
     "op8_jaccard_join": JACCARD_SQL,
     "op9_warc": WARC_SQL,
+    "op12_prefix_trie": TRIE_SQL,
 }
