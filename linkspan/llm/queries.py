@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspan.llm import (
-    bpe, chat, decontam, langid, line_dedup, ngram_join, pieces, pii, quality, substring_dedup, trie, warc,
+    bpe, chat, decontam, langid, line_dedup, ngram_join, pieces, pii, quality, substring_dedup, trie, warc, whitening,
 )
 from linkspan.llm.common import read
 from linkspan.sources.scratch import fresh_path, settle
@@ -268,7 +268,8 @@ WITH t AS (
   UNION ALL SELECT c.conv_id, 1, n, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE n >= h
 ), p AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) AS d,
-         md5(concat(length(role), ':', role, text)) AS e, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+         md5(concat(length(role), ':', role, text)) AS e, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words
   FROM s
 ), k AS (
   SELECT conv_id, d, words, string_agg(e, '') OVER (PARTITION BY conv_id ORDER BY d) AS k,
@@ -295,6 +296,10 @@ FROM a JOIN n USING (k)
 """
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": language,
     "op2_line_dedup": line_chunks,
@@ -306,6 +311,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join,
     "op9_warc": warc_roundtrip,
     "op10_chat_windows": chat_windows,
+    "op11_whitening": embedding_whitening,
     "op12_prefix_trie": conversation_trie,
     "op13_sentencepiece": piece_roundtrip,
 }
