@@ -9,12 +9,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Code points that one step of a vectorised Python function works on at a time.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,25 +54,55 @@ def steps(texts: pa.Array, most: int = STEP_CHARS) -> Iterator[list[str | None]]
         yield run
 
 
+def _runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, list | pa.ListArray]]:
+    """A batch in steps: the other columns, and the values of the last one (texts, or lists as an array)."""
+    column, at = batch.column(batch.num_columns - 1), 0
+    if pa.types.is_list(column.type):
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64) + 16)
+        while at < len(column):
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, upto - at), column.slice(at, upto - at)
+            at = upto
+        return
+    for values in steps(column, most):
+        yield batch.slice(at, len(values)), values
+        at += len(values)
+
+
 def map_steps(
-    df: DataFrame, keep: list[str], column: Column, work: Callable[[list], list[pa.Array]], made: str, most: int = 500_000,
+    df: DataFrame, keep: list[str], column: Column, work: Callable[[list | pa.ListArray], list[pa.Array]], made: str,
+    most: int = STEP_CHARS,
 ) -> DataFrame:
-    """The kept columns, and those that `work` makes of the values of `column` (texts or lists).
+    """The kept columns, and those that `work` makes of the values of `column` (texts, or an array of lists).
 
     Each step of bounded size leaves the task as a batch of its own, so that what a task
     holds of its results doesn't grow with the batches that come in.
     """
-    new = StructType.fromDDL(made)
-    schema = StructType([*(df.schema[c] for c in keep), *new.fields])
+    schema = StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(made).fields])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for values in steps(batch.column(batch.num_columns - 1), most):
-                rest = batch.slice(at, len(values)).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*rest, *work(values)], names)
-                at += len(values)
+            for part, values in _runs(batch, most):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(values)], names)
+
+    return df.select(*(F.col(f"`{c}`") for c in keep), column.alias(unused("value", df))).mapInArrow(run, schema)
+
+
+def flat_steps(
+    df: DataFrame, keep: list[str], column: Column, work: Callable[[list], tuple[np.ndarray, list[pa.Array]]], made: str,
+    most: int = STEP_CHARS,
+) -> DataFrame:
+    """Any number of rows for each value of `column`: `work` gives these numbers and all rows' new columns."""
+    schema = StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(made).fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values in _runs(batch, most):
+                counts, new = work(values)
+                rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:-1]), *new], names)
 
     return df.select(*(F.col(f"`{c}`") for c in keep), column.alias(unused("value", df))).mapInArrow(run, schema)
 
@@ -135,6 +166,13 @@ def lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
+def rows_of(rows: pa.ListArray) -> list[list]:
+    """The lists of an array; null ones are empty."""
+    flat = rows.flatten().to_pylist() if rows.type.value_type != pa.int32() else np.asarray(rows.flatten()).tolist()
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows), 0))).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def table_of(df: DataFrame, cells: int, dtype: str = "int64", piece: int = 1 << 14) -> np.ndarray:
     """Sum partial tables of a fixed number of cells.
 

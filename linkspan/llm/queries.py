@@ -81,32 +81,38 @@ FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
-def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each line that goes; documents without one don't occur."""
-    gone = substring_dedup.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return gone.select(
-        "doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "first_doc_id", "first_start"
+def repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each span of repeated units, whether it stays or goes; documents without one don't occur."""
+    found = substring_dedup.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup.spans(found).select(
+        "doc_id", F.col("start").cast("long").alias("start_char"), F.col("end").cast("long").alias("end_char"), "n_units",
+        "n_words", "gone_units", "gone_words", "first_doc_id", F.col("first_start").cast("long").alias("first_start"),
     )
 
 
-REPEATED_LINES_SQL = """
+REPEATED_SPANS_SQL = r"""
 WITH l AS (
-  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS parts FROM documents)
 ), p AS (
-  SELECT *, length(line) AS n,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char,
-         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[^\\x20\\x09-\\x0D]+') AS w FROM l
+  SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS start_char,
+         regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w FROM l
+), n AS (
+  SELECT doc_id, start_char, start_char + length(part) AS end_char, w,
+         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM p WHERE len(w) > 0
 ), u AS (
-  SELECT doc_id, start_char, start_char + n AS end_char,
-         row_number() OVER (PARTITION BY w ORDER BY doc_id, start_char) AS place,
-         first_value(doc_id) OVER (PARTITION BY w ORDER BY doc_id, start_char) AS first_doc_id,
-         first_value(start_char) OVER (PARTITION BY w ORDER BY doc_id, start_char) AS first_start
-  FROM p WHERE len(w) >= 5
+  SELECT *, row_number() OVER same AS place, count(*) OVER (PARTITION BY w) AS copies,
+         first_value(doc_id) OVER same AS first_doc_id, first_value(start_char) OVER same AS first_start
+  FROM n WINDOW same AS (PARTITION BY w ORDER BY doc_id, start_char)
+), r AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM u WHERE copies > 1
 )
-SELECT doc_id, start_char, end_char, first_doc_id, first_start FROM u WHERE place > 1
+SELECT doc_id, CAST(min(start_char) AS BIGINT) AS start_char, CAST(max(end_char) AS BIGINT) AS end_char, count(*) AS n_units,
+       CAST(sum(len(w)) AS BIGINT) AS n_words, count(*) FILTER (place > 1) AS gone_units,
+       CAST(coalesce(sum(len(w)) FILTER (place > 1), 0) AS BIGINT) AS gone_words,
+       arg_min(first_doc_id, unit) AS first_doc_id, CAST(arg_min(first_start, unit) AS BIGINT) AS first_start
+FROM r GROUP BY doc_id, run HAVING sum(len(w)) >= 25
 """
 
 
@@ -303,7 +309,7 @@ def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": language,
     "op2_line_dedup": line_chunks,
-    "op3_substring_dedup": repeated_lines,
+    "op3_substring_dedup": repeated_spans,
     "op4_quality_rules": quality_rules,
     "op5_byte_bpe": bpe_roundtrip,
     "op6_sanitisation": sanitisation,
@@ -318,7 +324,7 @@ QUERIES = {
 
 CHECKS: dict[str, str] = {
     "op2_line_dedup": LINE_CHUNKS_SQL,
-    "op3_substring_dedup": REPEATED_LINES_SQL,
+    "op3_substring_dedup": REPEATED_SPANS_SQL,
     "op7_decontamination": DECONTAMINATION_SQL,
     "op8_jaccard_join": JACCARD_SQL,
     "op9_warc": WARC_SQL,

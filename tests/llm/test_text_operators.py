@@ -6,6 +6,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -14,6 +15,7 @@ import tiktoken
 from compare import check, duck
 from linkspan.llm import bpe, chat, decontam, langid, line_dedup, pii, quality, substring_dedup, warc
 from linkspan.llm.queries import CHECKS, QUERIES, VOCABULARY
+from linkspan.sources.scratch import settle
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -178,7 +180,7 @@ def test_line_operators_odd_rows(spark, odd):
     made = line_dedup.dedup(odd)
     assert made.count() == len(ODD) and made.columns[:len(odd.columns)] == odd.columns
     assert line_dedup.dedup(odd.where("false")).count() == 0
-    gone = substring_dedup.repeated(odd)
+    gone = substring_dedup.repeated(odd, kind="line", least_words=5)
     rows = substring_dedup.dedup(odd, gone).collect()
     by = {(r["doc_id"], i): r for i, r in enumerate(rows)}
     assert len(by) == len(ODD)
@@ -188,6 +190,54 @@ def test_line_operators_odd_rows(spark, odd):
     assert substring_dedup.repeated(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", sorted(substring_dedup.UNITS))
+def test_units_are_the_text(kind):
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b c", ".", "?!", "\n", "\n\n", " \n \n", " "]) for _ in range(rng.randint(0, 30)))
+        assert "".join(m[0] for m in substring_dedup.UNITS[kind].finditer(text)) == text
+        assert all(text[a:b].split() for a, b, _, _ in substring_dedup.units(text, kind))
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_spans_against_brute_force(spark, broadcast_rows):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}{'.' if i % 9 == 0 else ''}" for i in range(60))
+    own = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(30)) + ". "
+    docs = [(i, own() + (f"Head {i} " + passage + f" tail {i}. " if i % 3 else "Yes. ") + own()) for i in range(40)]
+    docs += [(2**53 + 1, docs[1][1]), (2**53 + 3, docs[1][1]), (None, docs[2][1]), (50, docs[4][1]), (50, docs[4][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = settle(substring_dedup.repeated(df))
+    seen, gone = {}, {}
+    distinct = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0))
+    count = Counter(u[3] for d in distinct for u in substring_dedup.units(d[1]))
+    for doc_id, text in distinct:
+        run = []
+        for unit in [*substring_dedup.units(text), None]:
+            if unit is not None and count[unit[3]] > 1:
+                run.append(unit)
+                continue
+            if sum(u[2] for u in run) >= substring_dedup.LEAST_WORDS:
+                gone.setdefault((doc_id, text), []).extend(u for u in run if u[3] in seen)
+            run = []
+            # a unit of the same document counts as earlier too
+        for u in substring_dedup.units(text):
+            seen.setdefault(u[3], doc_id)
+    want = sorted((str(d), a, b) for (d, _), us in gone.items() for a, b, _, _ in us)
+    got = sorted((str(r["doc_id"]), r["start"], r["end"]) for r in found.collect() if not r["stays"])
+    assert got == want and len(want) > 50
+    for r in substring_dedup.dedup(df, found, broadcast_rows=broadcast_rows).collect():
+        cuts = sorted((a, b) for a, b, _, _ in gone.get((r["doc_id"], dict(docs)[r["doc_id"]]), []))
+        text, at, parts = dict(docs)[r["doc_id"]], 0, []
+        for a, b in cuts:
+            parts.append(text[at:a])
+            at = b
+        assert r["text"] == "".join(parts) + text[at:]
+    whole = substring_dedup.spans(found).collect()
+    assert {r["n_words"] for r in whole} and all(r["gone_words"] <= r["n_words"] for r in whole)
+    assert all(r["end"] - r["start"] >= 25 for r in whole)
+
+
 def test_members_in_any_ranges():
     inner = warc.record("response", 1, "u", b"inner", hashlib.sha1(b"inner").hexdigest(), None, "other@0")
     bodies = [os.urandom(3000), inner * 3, b"", warc.MAGIC * 50, b"plain " * 400]
@@ -287,17 +337,8 @@ def test_repeated_runs_of_lines_go(spark):
         own, other = texts[i].split("\n"), texts[i - 60].split("\n")
         at = rng.randrange(len(other))
         texts[i] = "\n".join(own[:3] + other[at:at + rng.randrange(2, 6)] + own[3:])
-    seen, expected = set(), {}
-    for i, text in enumerate(texts):
-        lines, cut = text.split("\n"), set()
-        worded = [k for k, x in enumerate(lines) if x.strip()]
-        for a, b in zip(worded, worded[1:]):
-            if (run := tuple(lines[a:b + 1])) in seen:
-                cut |= set(range(a, b + 1))
-            seen.add(run)
-        left = "\n".join(x for k, x in enumerate(lines) if k not in cut)
-        if left.strip() or not cut:
-            expected[i] = (left, len(left))
+    kept = line_brute(list(enumerate(texts)))
+    expected = {i: (left, len(left)) for (i, text), left in kept.items() if left.split() or left == text}
     docs = spark.createDataFrame(
         [(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long"
     ).repartition(5)
@@ -340,3 +381,4 @@ def test_windows_keep_a_budget_of_tokens(spark, monkeypatch):
     none = chat.numbered(docs.where("false"), chat.counted_tokens(
         bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)))
     assert chat.read_back(windows(none)).count() == 0
+
