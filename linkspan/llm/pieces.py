@@ -34,10 +34,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import Known, fresh_id, lists, map_steps, without
+from linkspan.llm.common import Known, fresh_id, lists, map_steps, rows_of, without
 
 SPACE = "▁"
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 PAIRS = 50_000
 #: Bits of the number of pairs that words side by side remember.
 SLOTS = 19
@@ -338,8 +338,10 @@ def encode(docs: DataFrame, model: Model, text: str = "text", decoded: bool = Fa
     def work(texts: list[str | None]) -> list[pa.Array]:
         encoder = _encoder(sent, key)
         ids, counts = encoder.encode(texts)
-        made = lists(ids, counts, pa.int32())
-        return [made, pa.array(encoder.library.decode(made.to_pylist()), pa.string())] if decoded else [made]
+        made = [lists(ids, counts, pa.int32())]
+        if decoded:
+            made.append(pa.array(encoder.library.decode(rows_of(made[0])), pa.string()))
+        return made
 
     stay = without(docs, *names) if keep is None else keep
     return map_steps(docs, stay, F.col(text), work, "ids array<int>" + (", decoded string" if decoded else ""))
@@ -349,8 +351,7 @@ def decode(tokens: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     """The rows with `decoded`, the text of their ids."""
     sent, key = model.sent, model.key
 
-    def work(rows: list[list[int] | None]) -> list[pa.Array]:
-        library = _encoder(sent, key).library
-        return [pa.array(library.decode([r or [] for r in rows]), pa.string())]
+    def work(rows: pa.ListArray) -> list[pa.Array]:
+        return [pa.array(_encoder(sent, key).library.decode(rows_of(rows)), pa.string())]
 
     return map_steps(tokens, without(tokens, "decoded"), F.col(ids), work, "decoded string")
