@@ -129,6 +129,8 @@ PROFILES = {1: PROFILE_A, 2: PROFILE_B, 3: PROFILE_C, 4: PROFILE_D, 5: PROFILE_E
 TEXT_DATE_PROFILES = {
     1: PROFILE_A, 2: PROFILE_B, 3: PROFILE_C_TEXT, 4: PROFILE_D_TEXT, 5: PROFILE_E_TEXT,
 }
+#: Profiles by name, as a rule table names them.
+ALL_PROFILES = {p.name: p for p in [*PROFILES.values(), *TEXT_DATE_PROFILES.values()]}
 
 
 class _OnColumns:

@@ -20,7 +20,7 @@ How the work is laid out:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from linkspan import codes
 from linkspan.functions.scoring import (
-    PROFILES, ScoreProfile, classify, missing_count, score_batch, with_rules,
+    ALL_PROFILES, PROFILES, ScoreProfile, classify, missing_count, score_batch, with_rules,
 )
 from linkspan.operators.blocking import BLOCK, RULES, BlockingRule, with_blocks
 from linkspan.operators.clean import complete_clean_columns
+from linkspan.operators.registry_index import RegistryIndex, build
 from linkspan.operators.spread import join_by_file
 from linkspan.sources.scratch import settle
 
@@ -95,7 +96,9 @@ def _incoming_tuples(rows: DataFrame, profile: ScoreProfile) -> DataFrame:
     )
 
 
-def _master_rows(master: DataFrame, rule: BlockingRule, profile: ScoreProfile) -> DataFrame:
+def _master_rows(master: DataFrame | RegistryIndex, rule: BlockingRule, profile: ScoreProfile) -> DataFrame:
+    if isinstance(master, RegistryIndex):
+        return master.rows(rule, profile)
     return with_blocks(master, rule.master_keys()).select(
         BLOCK, F.col("nik").alias("nik_master"),
         *[F.col(f"{f}_master_clean").cast("string").alias(f"b_{f}") for f in profile.fields],
@@ -284,11 +287,12 @@ def _give_back(rows: DataFrame, best: DataFrame, layout: Layout) -> DataFrame:
     return found.unionByName(keyless)
 
 
-def best_matches(incoming: DataFrame, master: DataFrame, rule: BlockingRule,
+def best_matches(incoming: DataFrame, master: DataFrame | RegistryIndex, rule: BlockingRule,
                  profile: ScoreProfile, limits: Limits = Limits()) -> DataFrame:
     """(file_id, id, grade, missing_count, score, nik_master) for every incoming row.
 
-    Rows without any candidate have a null score.
+    Rows without any candidate have a null score. With an index of the registry its
+    rows are neither cleaned nor keyed again, nor shuffled where the incoming side is.
     """
     # Read three times below and dear to compute, so written once.
     rows = settle(_incoming_rows(complete_clean_columns(incoming), rule, profile), "incoming")
@@ -320,7 +324,7 @@ def _as_results(found: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def link(incoming: DataFrame, master: DataFrame, grade: int, rules: DataFrame, *,
+def link(incoming: DataFrame, master: DataFrame | RegistryIndex, grade: int, rules: DataFrame, *,
          rule: BlockingRule | None = None, profile: ScoreProfile | None = None,
          limits: Limits = Limits()) -> DataFrame:
     """Match cleaned incoming rows of one grade with the cleaned registry.
@@ -335,67 +339,145 @@ def link(incoming: DataFrame, master: DataFrame, grade: int, rules: DataFrame, *
     return _as_results(found, rules)
 
 
+def candidates_of(sql: str, incoming: DataFrame, master: DataFrame) -> DataFrame:
+    """The relation that a user's SQL makes of incoming_df and master_df.
+
+    The two names exist in the text only: other queries of the session don't see them.
+    """
+    own = sql.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    text = (
+        "WITH incoming_df AS (SELECT * FROM {incoming}), master_df AS (SELECT * FROM {master}) SELECT * FROM (" + own + "\n)"
+    )
+    return incoming.sparkSession.sql(text, incoming=incoming, master=master)
+
+
+def best_of_pairs(pairs: DataFrame, profile: ScoreProfile, pieces: int = 64) -> DataFrame:
+    """Best partner per tuple over candidates that come in any order and number.
+
+    A tuple may hold a large part of all pairs. They are scored where they are, then the
+    best of each task goes to one of `pieces` pieces of its tuple by its partner's number, and
+    the best of the pieces is taken: no task sees all pairs, or all tasks' results, of a tuple.
+    """
+    values = [f"{side}_{f}" for f in profile.fields for side in "ab"]
+    reduced = pairs.select(TUPLE, "nik_master", *values).mapInArrow(
+        _best_of_batches(profile), f"{TUPLE} string, score double, nik_master string"
+    )
+    ranked = F.struct((-F.col("score")).alias("lost"), F.col("nik_master").alias("nik"))
+    piece = F.pmod(F.xxhash64("nik_master"), F.lit(pieces)).cast("int")
+    parts = reduced.groupBy(TUPLE, piece.alias("piece")).agg(F.min(ranked).alias("top"))
+    return parts.groupBy(TUPLE).agg(F.min("top").alias("top")).select(
+        TUPLE, (-F.col("top.lost")).alias("score"), F.col("top.nik").alias("nik_master")
+    )
+
+
 def link_with_sql(incoming: DataFrame, master: DataFrame, sql: str, grade: int,
                   rules: DataFrame, *, profile: ScoreProfile | None = None) -> DataFrame:
     """Match with candidates given by a user's SQL text.
 
-    The text reads the views incoming_df and master_df and returns
-    incoming_row_id, nik_master and any of the cleaned columns.  Columns it
-    leaves out count as missing.  When several files are matched at once it
-    must also return file_id.
+    The text reads incoming_df and master_df and returns incoming_row_id, nik_master and
+    any of the cleaned columns.  Columns it leaves out count as missing.  When several
+    files are matched at once it must also return file_id; rows of a null file are their own.
     """
     profile = profile or PROFILES[grade]
-    spark = incoming.sparkSession
     incoming = settle(  # read twice below
         complete_clean_columns(incoming).withColumn("grade", F.lit(grade)), "incoming"
     )
-    incoming.createOrReplaceTempView("incoming_df")
-    master.createOrReplaceTempView("master_df")
-    try:
-        pairs = spark.sql(sql)
-    finally:
-        spark.catalog.dropTempView("incoming_df")
-        spark.catalog.dropTempView("master_df")
+    pairs = candidates_of(sql, incoming, master)
     named = {name.lower() for name in pairs.columns}
     text = lambda name: (F.col(name) if name in named else F.lit(None)).cast("string")
-    key = [F.coalesce(text("file_id"), F.lit("")), F.col("incoming_row_id").cast("string")]
+    by_file = "file_id" in named
+    key = lambda file, row: F.to_json(F.struct(file.alias("f"), row.cast("string").alias("r")))
     values = [text(f"{f}_clean").alias(f"a_{f}") for f in profile.fields]
     values += [text(f"{f}_master_clean").alias(f"b_{f}") for f in profile.fields]
     pairs = pairs.filter(F.col("nik_master").isNotNull()).select(
-        F.concat_ws("\u001f", *key).alias(TUPLE), F.col("nik_master").cast("string"), *values
-    )
-    best = _best_partner(pairs, profile)
-    row_key = F.concat_ws(
-        "\u001f", F.coalesce(F.col("file_id"), F.lit("")) if "file_id" in named else F.lit(""), F.col("id").cast("string")
+        key(text("file_id"), F.col("incoming_row_id")).alias(TUPLE), F.col("nik_master").cast("string"), *values
     )
+    best = best_of_pairs(pairs, profile)
+    own_file = F.col("file_id").cast("string") if by_file else F.lit(None).cast("string")
     rows = incoming.select(
-        *ROW, "grade", missing_count(profile).alias("missing_count"), row_key.alias(TUPLE),
+        *ROW, "grade", missing_count(profile).alias("missing_count"), key(own_file, F.col("id")).alias(TUPLE),
     )
     return _as_results(rows.join(best, TUPLE, "left"), rules)
 
 
-def link_files(files: DataFrame, incoming: DataFrame, master: DataFrame, rules: DataFrame,
-               limits: Limits = Limits()) -> DataFrame:
-    """Match the rows of many files, each by the rule of its file's grade.
+#: A table of rules: a text of candidates and a profile's name besides the thresholds; both may be null.
+RULE_TABLE_SCHEMA = (
+    "grade_code int, matching_query string, profile string, auto_missing_max int, auto_score_min double, "
+    "review_missing_count int, review_score_min double, review_score_max double"
+)
 
-    Only the grades that occur are run; a file whose grade is outside 1-5 is
-    refused.
-    """
+
+def _grades_of(files: DataFrame) -> list[int]:
     known = F.when(F.col("grade").isin(*RULES), F.col("grade")).otherwise(0)
     grades = sorted(r[0] for r in files.select(known).distinct().collect())  # at most six
     if 0 in grades:
         raise ValueError("Unsupported grade among the files")
-    if not grades:
-        grades = [codes.GRADE_A]
+    return grades or [codes.GRADE_A]
+
+
+def _of_all_grades(files: DataFrame, incoming: DataFrame, grades: list[int], one) -> DataFrame:
     out = None
     for grade in grades:
         mine = files.filter(F.col("grade") == grade).select("file_id")
-        part = link(join_by_file(incoming, mine, "id", "left_semi"), master, grade, rules, limits=limits)
+        part = one(grade, join_by_file(incoming, mine, "id", "left_semi"))
         out = part if out is None else out.unionByName(part)
     dates = files.select("file_id", F.col("upload_timestamp").alias("upload_date"))
     return join_by_file(out, dates, "id_incoming")
 
 
+def link_files(files: DataFrame, incoming: DataFrame, master: DataFrame | RegistryIndex, rules: DataFrame,
+               limits: Limits = Limits()) -> DataFrame:
+    """Match the rows of many files, each by the rule of its file's grade.
+
+    Only the grades that occur are run; a file whose grade is outside 1-5 is
+    refused. A registry that is no index yet is read once, to make one for all grades.
+    Rules with texts of candidates or profile names are those of `link_files_by_table`.
+    """
+    if "matching_query" in rules.columns:
+        index = master if isinstance(master, RegistryIndex) else None
+        return link_files_by_table(files, incoming, None if index else master, rules, limits, index)
+    grades = _grades_of(files)
+    index = master if isinstance(master, RegistryIndex) else build(master, buckets=_buckets(master))
+    return _of_all_grades(files, incoming, grades, lambda grade, rows: link(rows, index, grade, rules, limits=limits))
+
+
+def _buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def link_files_by_table(files: DataFrame, incoming: DataFrame, master: DataFrame | None, table: DataFrame,
+                        limits: Limits = Limits(), index: RegistryIndex | None = None) -> DataFrame:
+    """Match the rows of many files by a table of rules, one row per grade.
+
+    A grade's row may hold a text of its candidates (`matching_query`, see `link_with_sql`) or
+    none, for the grade's own blocking rule; the name of a score profile or none, for the
+    grade's own; and its thresholds. A grade that occurs without a row is refused, and so
+    is one with two, or a name that no profile has. `index`: of the registry, if there is one.
+    """
+    grades = _grades_of(files)
+    rows = table.filter(F.col("grade_code").isin(grades)).limit(len(grades) + 1).collect()
+    found = {r["grade_code"]: r for r in rows}
+    if len(found) < len(rows) or len(rows) > len(grades):
+        raise ValueError("a grade has two rules")
+    if missing := [g for g in grades if g not in found]:
+        raise ValueError(f"No matching rule for grade {missing[0]}")
+    if unknown := [r["profile"] for r in rows if r["profile"] and r["profile"] not in ALL_PROFILES]:
+        raise ValueError(f"No score profile {unknown[0]}")
+    if master is None and any(r["matching_query"] for r in rows):
+        raise ValueError("a text of candidates needs the registry itself, not an index of it")
+    if index is None and any(not r["matching_query"] for r in rows):
+        index = build(master, buckets=_buckets(master))
+
+    def one(grade: int, mine: DataFrame) -> DataFrame:
+        rule = found[grade]
+        profile = replace(ALL_PROFILES[rule["profile"]], grade=grade) if rule["profile"] else PROFILES[grade]
+        if rule["matching_query"]:
+            return link_with_sql(mine, master, rule["matching_query"], grade, table, profile=profile)
+        return link(mine, index, grade, table, profile=profile, limits=limits)
+
+    return _of_all_grades(files, incoming, grades, one)
+
+
 def match_summary(results: DataFrame) -> DataFrame:
     """Processed, matched, review and unmatched rows per file."""
     of = lambda code: F.count_if(F.col("match_result") == code)

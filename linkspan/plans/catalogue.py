@@ -403,12 +403,14 @@ FROM incoming_df i JOIN master_df m
 """
 
 
-@query(_match_sql(
-    sc.PROFILE_B,
+RULE_PAIRS = (
     "SELECT i.*, m.nik AS nik_master, m.* EXCLUDE (nik) FROM inc i JOIN mas m"
     " ON i.tempat_lahir_clean = m.tempat_lahir_master_clean"
-    " AND i.tanggal_lahir_clean = m.tanggal_lahir_master_clean",
-))
+    " AND i.tanggal_lahir_clean = m.tanggal_lahir_master_clean"
+)
+
+
+@query(_match_sql(sc.PROFILE_B, RULE_PAIRS))
 def match_rule_sql(spark, sf_dir):
     return matching.link_with_sql(
         _incoming(spark, sf_dir), _master(spark, sf_dir), RULE_TEXT, 2, sc.default_rules(spark)
@@ -434,12 +436,12 @@ def file_sync_status(spark, sf_dir):
     return matching.file_sync_status(_link(spark, sf_dir, 1))
 
 
-def _by_grade_sql() -> str:
+def _by_grade_sql(profiles=sc.PROFILES, pairs: dict[int, str] = {}) -> str:
     """Each file by its own grade: five chains of texts side by side."""
     parts = {"rules": _RULES_SQL, **_CLEAN}
     unions = []
-    for grade, profile in sc.PROFILES.items():
-        own = _match_parts(profile)
+    for grade, profile in profiles.items():
+        own = _match_parts(profile, pairs.get(grade))
         names = {n: f"{n}{grade}" for n in ("pairs", "scored", "best", "matched")}
         parts[f"inc{grade}"] = f"SELECT i.* FROM inc i JOIN files_v f ON i.file_id = f.file_id WHERE f.grade = {grade}"
         for n in names:
@@ -464,6 +466,18 @@ def match_files_by_grade(spark, sf_dir):
     )
 
 
+@query(_by_grade_sql(sc.TEXT_DATE_PROFILES, {2: RULE_PAIRS}))
+def match_files_by_rule_table(spark, sf_dir):
+    """Grade 2 by a text of candidates, the others by their own blocks; dates compared as text."""
+    thresholds = sc.default_rules(spark)
+    named = spark.createDataFrame(
+        [(g, RULE_TEXT if g == 2 else None, p.name) for g, p in sc.TEXT_DATE_PROFILES.items()],
+        "grade_code int, matching_query string, profile string",
+    )
+    table = thresholds.join(named, "grade_code").select(*(f.split()[0] for f in matching.RULE_TABLE_SCHEMA.split(", ")))
+    return matching.link_files(derive(spark, sf_dir, "files_v"), _incoming(spark, sf_dir), _master(spark, sf_dir), table)
+
+
 @query(
     with_tables("incoming_v", "files_v", **_match_parts(sc.PROFILE_D),
                 st="SELECT file_id, CASE WHEN bool_or(match_result = 2) THEN 1 ELSE 3 END AS s FROM matched GROUP BY file_id")
