@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkspan import codes
 from linkspan.operators.reports import export_matched, export_unmatched
-from linkspan.sources.scratch import settle
+from linkspan.sources import versions
 
 
 def overwrite_files(df: DataFrame, path: str, by: str = "file_id") -> None:
@@ -18,16 +18,18 @@ def overwrite_files(df: DataFrame, path: str, by: str = "file_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def read_by_file(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
+def read_by_file(spark: SparkSession, path: str, merge: bool = False, schema: str | None = None) -> DataFrame:
     """A table that is partitioned by file_id, with its ids as the text they are.
 
     Left to itself Spark takes ids of digits for numbers when it lists the partitions.
+    With a schema a table without any row can be read too.
     """
     guess = "spark.sql.sources.partitionColumnTypeInference.enabled"
     before = spark.conf.get(guess)
     spark.conf.set(guess, "false")
     try:
-        return spark.read.option("mergeSchema", merge).parquet(path)
+        reader = spark.read.option("mergeSchema", merge)
+        return (reader.schema(schema) if schema else reader).parquet(path)
     finally:
         spark.conf.set(guess, before)
 
@@ -57,10 +59,14 @@ def write_zstd(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str, label: str = "table") -> None:
-    """Replace a table by a value computed from it: settled first, since a table
-    cannot be overwritten while it is read."""
-    settle(df, label).write.mode("overwrite").parquet(path)
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace a table by a value computed from it. Readers see the old or the new one."""
+    versions.write(df, path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that `replace_table` writes."""
+    return versions.read(spark, path)
 
 
 def write_export(df: DataFrame, path: str) -> None:

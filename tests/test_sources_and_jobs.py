@@ -121,8 +121,8 @@ def test_upload_to_export(spark, tmp_path):
     manual = pipeline.give_reasons(spark, store, master, now())
     assert manual.filter("reasoning_status = 'PENDING'").count() == 0
     assert manual.filter("reasoning_status = 'COMPLETED' and reason is null").count() == 0
-    waiting = spark.read.parquet(store.files).filter("sync_status = 2").select("file_id").first()
-    file_id = (waiting or spark.read.parquet(store.files).select("file_id").first())[0]
+    waiting = tables.read_table(spark, store.files).filter("sync_status = 2").select("file_id").first()
+    file_id = (waiting or tables.read_table(spark, store.files).select("file_id").first())[0]
     entry = pipeline.export(spark, store, master, file_id).first()
     assert (entry["sync_status"], entry["export_status"]) == (3, "READY")
     own = spark.read.parquet(store.results).filter(F.col("file_id") == file_id)
