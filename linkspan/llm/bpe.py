@@ -6,6 +6,10 @@ merge of every pair of tokens that it can be put together from, in the order of
 ranks, and a piece that is a token as a whole becomes that token, as tiktoken does it.
 The vocabulary's size is fixed, so the broadcast is too.
 
+Texts leave in steps of bounded size, with their offsets or decoded bytes if asked for, so
+that one Python worker a task holds one copy of the vocabulary. Decoding writes each id
+as the vocabulary does, in the characters that stand for bytes, and reverses that table.
+
 Defined results: a null text counts as empty; empty text has no tokens. Ids that are no
 rank make decoding fail. Input columns called like an output column are replaced, all
 other columns stay. Rows are handled one by one: ties, repeated rows and empty tables
@@ -17,16 +21,18 @@ from __future__ import annotations
 import base64
 import codecs
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from linkspan.llm.common import add_struct, fresh_id, steps
+from linkspan.llm.common import Known, fresh_id, lists, map_steps, release, steps, without
 
 
 def byte_characters() -> list[str]:
@@ -56,50 +62,42 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 
 
 class Encoder:
-    """Ids of texts. Each distinct piece goes through the tokenizer once while it is remembered."""
+    """Ids of texts, and back. Each distinct piece goes through the tokenizer once while it is remembered."""
 
-    REMEMBERED = 150_000
+    REMEMBERED = 120_000
 
-    def __init__(self, tokenizer: str, pattern: str, sizes: np.ndarray):
+    def __init__(self, tokenizer: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(pattern).findall
         self.shown = dict(enumerate(byte_characters()))
-        self.sizes = sizes
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
+        back = {ord(c): b for b, c in self.shown.items()}
+        written = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.tokens = np.array([*(t.translate(back).encode("latin-1") for t in written), b""], dtype=object)[:-1]
+        self.sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self.known = Known(self._learn, self.REMEMBERED)
 
-    def learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [p.encode().decode("latin-1").translate(self.shown) for p in pieces]
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.asarray(made.word_ids, dtype=np.int64), minlength=len(pieces))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, np.asarray(made.ids, dtype=np.int32)])
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
+        return np.asarray(made.ids, dtype=np.int32), counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's."""
-        if len(self.index) > self.REMEMBERED:
-            self.forget()
         pieces = list(map(self.split, texts))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = list(chain.from_iterable(pieces))
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(missing := np.flatnonzero(at < 0)):
-            self.learn(list({flat[i] for i in missing}))
-            at[missing] = [self.index[flat[i]] for i in missing]
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(counts.sum())]
-        upto = np.concatenate([[0], ends])[np.cumsum(sizes)]
+        ids, counts = self.known.lookup(list(chain.from_iterable(pieces)))
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
         return ids, np.diff(upto, prepend=0)
 
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each text."""
+        if len(ids) and ids.min() < 0:
+            raise ValueError("a negative id")
+        tokens, ends = self.tokens[ids].tolist(), np.cumsum(counts).tolist()
+        return [b"".join(tokens[a:b]) for a, b in zip([0, *ends], ends)]
+
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points from and to (exclusive) of each token.
 
@@ -116,11 +114,16 @@ class Encoder:
 _made: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    """At a task's end: the next one makes its encoder anew, and other work has the memory meanwhile."""
+    _made.clear()
+    release()
+
+
 def _encoder(sent, pattern: str, key: str) -> Encoder:
     if key not in _made:
-        json, tokens = sent.value
         _made.clear()
-        _made[key] = Encoder(json, pattern, np.array([len(t) for t in tokens]))
+        _made[key] = Encoder(sent.value, pattern)
     return _made[key]
 
 
@@ -131,86 +134,66 @@ class Vocabulary:
         ranks = read_ranks(path)
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks must be 0, 1, 2, ...")
-        tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.key, self.pattern = fresh_id(), pattern
-        self.sent = spark.sparkContext.broadcast((tokenizer_json(ranks), tokens))
-
-    def encoding(self, text: Column, offsets: bool = False) -> Column:
-        """struct(ids array<int>[, starts array<int>, ends array<int>])."""
-        sent, pattern, key = self.sent, self.pattern, self.key
-        names = ["ids", "starts", "ends"] if offsets else ["ids"]
+        self.sent = spark.sparkContext.broadcast(tokenizer_json(ranks))
 
-        @F.arrow_udf(", ".join(f"{n} array<int>" for n in names))
-        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = _encoder(sent, pattern, key)
-            for batch in batches:
-                ids, counts, starts, ends = [], [], [], []
-                for run in steps(batch, 500_000):
-                    texts = [t or "" for t in run]
-                    flat, each = encoder.encode(texts)
-                    ids.append(flat)
-                    counts.append(each)
-                    if offsets:
-                        cuts = np.cumsum(each)[:-1]
-                        for text, own in zip(texts, np.split(flat, cuts), strict=True):
-                            first, last = encoder.offsets(text, own)
-                            starts.append(first)
-                            ends.append(last)
-                found = [ids, starts, ends][:len(names)]
-                yield pa.StructArray.from_arrays([_lists(x, counts) for x in found], names)
-
-        return encode(text)
+    def encoder(self):
+        """For use in tasks: gives this worker's encoder."""
+        return partial(_encoder, self.sent, self.pattern, self.key)
 
     def counting(self, text: Column) -> Column:
         """The number of the text's tokens."""
-        sent, pattern, key = self.sent, self.pattern, self.key
+        encoder = self.encoder()
 
         @F.arrow_udf("long")
         def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = _encoder(sent, pattern, key)
             for batch in batches:
-                counts = [encoder.encode([t or "" for t in run])[1] for run in steps(batch, 500_000)]
+                counts = [encoder().encode([t or "" for t in run])[1] for run in steps(batch)]
                 yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
         return count(text)
 
-    def decoding(self, ids: Column) -> Column:
-        """The tokens' bytes. Null has none."""
-        sent = self.sent
-
-        @F.arrow_udf("binary")
-        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            _, tokens = sent.value
-            token = np.array([*tokens, b""], dtype=object)[:-1]
-            for batch in batches:
-                flat = np.asarray(batch.flatten())
-                if len(flat) and flat.min() < 0:
-                    raise ValueError("a negative id")
-                ends = np.cumsum([len(x) if x.is_valid else 0 for x in batch])
-                out, begin = [], 0
-                for end in ends:
-                    out.append(b"".join(token[flat[begin:end]].tolist()))
-                    begin = end
-                yield pa.array(out, pa.binary())
-
-        return decode(ids)
 
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", offsets: bool = False, decoded: bool = False,
+    keep: list[str] | None = None, forget: bool = False,
+) -> DataFrame:
+    """The documents with `ids`, with `starts` and `ends` if offsets are asked for, and `decoded`.
+
+    `decoded` has the bytes that the ids stand for. `keep` names the columns that stay, all by default.
+    With `forget` a worker drops the vocabulary at a task's end, for jobs that go on with other work.
+    """
+    encoder = vocabulary.encoder()
+    names = ["ids", *(["starts", "ends"] if offsets else []), *(["decoded"] if decoded else [])]
+
+    def work(values: list[str | None]) -> list[pa.Array]:
+        own, texts = encoder(), [t or "" for t in values]
+        ids, counts = own.encode(texts)
+        made = [lists(ids, counts, pa.int32())]
+        if offsets:
+            spans = [own.offsets(t, i) for t, i in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
+            made += [lists(np.concatenate(x), counts, pa.int32()) for x in zip(*spans, strict=True)]
+        if decoded:
+            made.append(pa.array(own.decode(ids, counts), pa.binary()))
+        return made
+
+    stay = without(docs, *names) if keep is None else keep
+    kinds = {"decoded": "binary"}
+    return map_steps(
+        docs, stay, F.col(text), work, ", ".join(f"{n} {kinds.get(n, 'array<int>')}" for n in names),
+        after=_forget if forget else release,
+    )
 
-def _lists(runs: list[np.ndarray], counts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
-    flat = np.concatenate(runs) if runs else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
 
+def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
+    """The rows with `decoded`, the bytes that their ids stand for. Null has none."""
+    encoder = vocabulary.encoder()
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", offsets: bool = False) -> DataFrame:
-    """The documents with `ids`, and with `starts` and `ends` if offsets are asked for."""
-    names = ["ids", "starts", "ends"] if offsets else ["ids"]
-    return add_struct(docs, vocabulary.encoding(F.col(text), offsets), names)
-
+    def work(rows: pa.ListArray) -> list[pa.Array]:
+        counts = np.asarray(pc.fill_null(pc.list_value_length(rows), 0))
+        return [pa.array(encoder().decode(np.asarray(rows.flatten()), counts), pa.binary())]
 
-def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
-    """The rows with `decoded`, the bytes that their ids stand for."""
-    return tokens.withColumn("decoded", vocabulary.decoding(F.col(ids)))
+    return map_steps(tokens, without(tokens, "decoded"), F.col(ids), work, "decoded binary")
 
 
 def decoded_parts(tokens: list[bytes]) -> Iterator[str]:

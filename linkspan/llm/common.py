@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -54,6 +56,15 @@ def steps(texts: pa.Array, most: int = STEP_CHARS) -> Iterator[list[str | None]]
         yield run
 
 
+def release() -> None:
+    """Give freed memory back to the machine: Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, list | pa.ListArray]]:
     """A batch in steps: the other columns, and the values of the last one (texts, or lists as an array)."""
     column, at = batch.column(batch.num_columns - 1), 0
@@ -71,12 +82,12 @@ def _runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, li
 
 def map_steps(
     df: DataFrame, keep: list[str], column: Column, work: Callable[[list | pa.ListArray], list[pa.Array]], made: str,
-    most: int = STEP_CHARS,
+    most: int = STEP_CHARS, after: Callable[[], None] = release,
 ) -> DataFrame:
     """The kept columns, and those that `work` makes of the values of `column` (texts, or an array of lists).
 
     Each step of bounded size leaves the task as a batch of its own, so that what a task
-    holds of its results doesn't grow with the batches that come in.
+    holds of its results doesn't grow with the batches that come in. `after` runs at a task's end.
     """
     schema = StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(made).fields])
     names = [f.name for f in schema.fields]
@@ -85,6 +96,7 @@ def map_steps(
         for batch in batches:
             for part, values in _runs(batch, most):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(values)], names)
+        after()
 
     return df.select(*(F.col(f"`{c}`") for c in keep), column.alias(unused("value", df))).mapInArrow(run, schema)
 
@@ -103,6 +115,7 @@ def flat_steps(
                 counts, new = work(values)
                 rows = pa.array(np.repeat(np.arange(len(counts)), counts))
                 yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:-1]), *new], names)
+        release()
 
     return df.select(*(F.col(f"`{c}`") for c in keep), column.alias(unused("value", df))).mapInArrow(run, schema)
 

@@ -1,17 +1,19 @@
 """Line dedup by content-defined chunks of lines.
 
-Each line has a hash, the first 32 bits of its MD5. A rolling hash over the last two
-lines, 31 * previous + own modulo 2**32, ends a chunk where it is divisible by `every`;
-so chunks depend on their own lines only, and lines put in or left out elsewhere don't
-shift them. With `every` 0 each two neighbouring lines with a word are a chunk, with what
-is between them; chunks then overlap, and every run of two or more such lines that an
-earlier place has goes, wherever it begins. Single lines and passages that begin or end
-inside a line are beyond both.
-
-Chunks with two or more lines with a word are compared globally by digest; of those found more than once, the texts are then compared byte by byte with the first
-occurrence (by doc_id, then chunk), which stays. The others are removed with their lines;
-a line also goes if only one of the chunks it is in does. What is removed is kept at an
-earlier place, each line by itself where chunks overlap.
+Only lines with a word count. Each has a hash, the first 32 bits of its MD5; a rolling
+hash over two lines, 31 * previous + own modulo 2**32, times an odd number, is smallest
+among its neighbours at the end of a chunk. So chunks depend on their own lines and the
+next ones only, and lines put in or left out elsewhere don't shift them; no two ends are
+side by side, so a chunk has two lines or more, and the last one of a text is never a
+single line. Several factors (`FACTORS`) give several ways to cut a text, which
+reach runs of lines that one way misses. A chunk goes from its first to its last line with a word, with what is
+between; texts with one such line have no chunk.
+
+Chunks are compared globally by digest; of those found more than once, the texts are then
+compared byte by byte with the first occurrence (by doc_id, then line), which stays. The
+others are removed with their lines; a line goes if one of its chunks does. What is
+removed is kept at an earlier place, each line by itself where chunks overlap. Single
+lines, and passages that begin or end inside a line, are beyond the method.
 
 Only digests are shuffled for the counts. The texts of repeated chunks are found through
 a bitmap of fixed size (`CELLS`), which may let other chunks pass that the join then
@@ -20,56 +22,67 @@ drops. Digests that hold a large share of all chunks are joined by broadcast.
 Defined results: null texts stay null, empty texts empty, a text without line breaks
 whole. Null doc_ids rank last and are told apart by text. Repeated rows (same doc_id and
 text) count as one and are treated alike. All other columns stay. A text all of whose
-lines go becomes empty.
+lines go keeps its empty lines only.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from linkspan.llm.common import (
-    join_counted, pieces_of, rank, row_keys, small, steps, table_of, with_lists, with_text,
+    flat_steps, join_counted, pieces_of, rank, release, row_keys, small, steps, table_of, unused, with_lists, without,
 )
 from linkspan.sources.scratch import settle
 
-EVERY = 4
+#: Odd numbers below 2**31, each a way to cut; fixed values.
+FACTORS = (1, 40503, 1103515245, 69069, 1664525)
 CELLS = 1 << 22
 
 
-def chunks(data: bytes, every: int = EVERY) -> list[tuple[int, int]]:
-    """First and last line (exclusive) of each chunk."""
-    found, first, before = [], 0, 0
-    lines = data.split(b"\n")
-    if every == 0:
-        worded = [i for i, line in enumerate(lines) if line.strip()]
-        return [(i, j + 1) for i, j in pairwise(worded)]
-    for i, line in enumerate(lines):
-        own = int.from_bytes(hashlib.md5(line).digest()[:4], "big")
-        if (31 * before + own) % (1 << 32) % every == 0:
-            found.append((first, i + 1))
-            first = i + 1
-        before = own
-    if first < len(lines):
-        found.append((first, len(lines)))
+def ends(own: np.ndarray, place: np.ndarray, size: np.ndarray, factor: int) -> np.ndarray:
+    """Where chunks end, for the hashes of many texts' lines in a row.
+
+    `place` counts the lines of a text from 0, `size` is their number.
+    """
+    mask = np.uint64(0xFFFFFFFF)
+    before = np.concatenate([np.zeros(1, np.uint64), own[:-1]]) if len(own) else own
+    rolled = (np.where(place > 0, before, 0).astype(np.uint64) * np.uint64(31) + own) * np.uint64(factor) & mask
+    found = place == size - 1
+    if len(own) > 2:
+        inner = (rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] <= rolled[2:])
+        found[1:-1] |= inner & (place[1:-1] >= 1) & (place[1:-1] <= size[1:-1] - 3)
     return found
 
 
-def _multi_line(data: bytes, every: int) -> list[tuple[int, bytes, bytes]]:
-    """(number, digest, bytes) of the chunks with two or more lines with a word."""
-    lines = data.split(b"\n")
+def chunks(texts: list[bytes], factors: tuple[int, ...] = FACTORS) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+    """The number of each text's chunks, and (first line, last line exclusive, bytes) of all in a row."""
+    lines = [t.split(b"\n") for t in texts]
+    worded = [[i for i, line in enumerate(own) if line.strip()] for own in lines]
+    counts = np.fromiter(map(len, worded), np.int64, len(worded))
+    hashes = [int.from_bytes(hashlib.md5(own[i]).digest()[:4], "big") for own, at in zip(lines, worded) for i in at]
+    own, size = np.array(hashes, np.uint64), np.repeat(counts, counts)
+    text = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
     found = []
-    for seq, (first, last) in enumerate(chunks(data, every)):
-        if last - first > 1 and sum(1 for line in lines[first:last] if line.strip()) > 1:
-            body = b"\n".join(lines[first:last])
-            found.append((seq, hashlib.md5(body).digest(), body))
-    return found
+    for factor in factors:
+        last = np.flatnonzero(ends(own, place, size, factor))
+        first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+        several = last > first
+        found.append(first[several] << 32 | last[several])
+    both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    first, last = both >> 32, both & 0xFFFFFFFF
+    number = np.array([i for at in worded for i in at], np.int64)
+    made = []
+    for t, a, b in zip(text[first].tolist(), number[first].tolist(), (number[last] + 1).tolist(), strict=True):
+        made.append((a, b, b"\n".join(lines[t][a:b])))
+    return np.bincount(text[first], minlength=len(texts)), made
 
 
 def _cell(digests: pa.Array) -> np.ndarray:
@@ -77,29 +90,29 @@ def _cell(digests: pa.Array) -> np.ndarray:
     return (heads % np.uint64(CELLS)).astype(np.int64)
 
 
-def occurrences(docs: DataFrame, text: str = "text", every: int = EVERY, passing: np.ndarray | None = None) -> DataFrame:
-    """doc_id, hash, seq, digest of every multi-line chunk.
+def occurrences(
+    docs: DataFrame, text: str = "text", factors: tuple[int, ...] = FACTORS, passing: np.ndarray | None = None,
+) -> DataFrame:
+    """doc_id, hash, first, last, digest of every chunk.
 
     With `passing`, only of those whose cell is set there, and with their bytes (body).
     """
     bodies = passing is not None
     sent = docs.sparkSession.sparkContext.broadcast(passing) if bodies else None
-    fields = [("seq", pa.int32()), ("digest", pa.binary())] + ([("body", pa.binary())] if bodies else [])
 
-    @F.arrow_udf("array<struct<seq: int, digest: binary" + (", body: binary>>" if bodies else ">>"))
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for run in steps(batch):
-                for value in run:
-                    own = _multi_line((value or "").encode(), every)
-                    if bodies and own:
-                        ok = sent.value[_cell(pa.array([c[1] for c in own], pa.binary()))]
-                        own = [c for c, let in zip(own, ok, strict=True) if let]
-                    rows.append([dict(zip([f[0] for f in fields], c)) for c in own])
-            yield pa.array(rows, pa.list_(pa.struct(fields)))
+    def work(texts: list[str | None]) -> tuple[np.ndarray, list[pa.Array]]:
+        counts, found = chunks([(t or "").encode() for t in texts], factors)
+        digests = pa.array([hashlib.md5(body).digest() for _, _, body in found], pa.binary())
+        if bodies and found:
+            ok = sent.value[_cell(digests)]
+            counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[ok], minlength=len(counts))
+            found, digests = [c for c, let in zip(found, ok, strict=True) if let], digests.filter(pa.array(ok))
+        made = [pa.array([c[i] for c in found], pa.int32()) for i in (0, 1)] + [digests]
+        return counts, made + ([pa.array([c[2] for c in found], pa.binary())] if bodies else [])
 
-    return docs.select(*row_keys(text), F.explode(cut(F.col(text))).alias("chunk")).select("doc_id", "hash", "chunk.*")
+    own = docs.select(*row_keys(text), F.col(text).alias("text"))
+    made = "first int, last int, digest binary" + (", body binary" if bodies else "")
+    return flat_steps(own, ["doc_id", "hash"], F.col("text"), work, made)
 
 
 def _bitmap(digests: DataFrame) -> np.ndarray:
@@ -112,53 +125,63 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
     return table_of(digests.mapInArrow(mark, "piece int, cells binary"), CELLS) > 0
 
 
-def repeated(docs: DataFrame, text: str = "text", every: int = EVERY) -> DataFrame:
-    """doc_id, hash, seq of the chunks to remove."""
-    every_chunk = settle(occurrences(docs, text, every), "chunks")
-    distinct = every_chunk.dropDuplicates(["doc_id", "hash", "seq"])
+def repeated(docs: DataFrame, text: str = "text", factors: tuple[int, ...] = FACTORS) -> DataFrame:
+    """doc_id, hash, first, last of the chunks to remove."""
+    place = ["doc_id", "hash", "first", "last"]
+    every = settle(occurrences(docs, text, factors), "chunks")
     groups = settle(
-        distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank("seq")).alias("first")).where("n > 1"),
-        "groups",
+        every.dropDuplicates(place).groupBy("digest").agg(
+            F.count(F.lit(1)).alias("n"), F.min(rank("first")).alias("earliest")
+        ).where("n > 1"), "groups",
     )
-    total = every_chunk.count()
-    bodies = occurrences(docs, text, every, _bitmap(groups.select("digest")))
-    bodies = settle(bodies.dropDuplicates(["doc_id", "hash", "seq"]), "bodies")
+    total = every.count()
+    bodies = occurrences(docs, text, factors, _bitmap(groups.select("digest")))
+    bodies = settle(bodies.dropDuplicates(place), "bodies")
     known = settle(join_counted(bodies, groups, "digest", total), "known")
-    is_first = rank("seq").eqNullSafe(F.col("first"))
+    is_first = rank("first").eqNullSafe(F.col("earliest"))
     firsts = known.where(is_first).select("digest", "n", F.col("body").alias("first_body"))
-    others = known.where(~is_first).drop("n", "first")
+    others = known.where(~is_first).drop("n", "earliest")
     compared = join_counted(others, settle(firsts, "firsts"), "digest", total)
-    return compared.where("body = first_body").select("doc_id", "hash", "seq")
+    return compared.where("body = first_body").select(*place)
 
 
-def dedup(docs: DataFrame, text: str = "text", every: int = EVERY, broadcast_rows: int = 1_000_000) -> DataFrame:
+def dedup(
+    docs: DataFrame, text: str = "text", factors: tuple[int, ...] = FACTORS, broadcast_rows: int = 1_000_000,
+) -> DataFrame:
     """The documents without their repeated chunks, with lines, kept_lines and removed_chunks."""
-    gone = settle(repeated(docs, text, every), "repeated")
-    lists = gone.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
+    gone = settle(repeated(docs, text, factors), "repeated")
+    lists = gone.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
     if small(gone, broadcast_rows) is not gone:
         lists = F.broadcast(lists)  # its size is that of `gone` at most
-    made = "text: string, lines: int, kept: int, removed: int"
-
-    @F.arrow_udf(f"struct<{made}>")
-    def removed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, seqs in batches:
-            out = []
-            for value, gone_here in zip(texts, seqs, strict=True):
-                data, drop = (value.as_py() or "").encode(), set(gone_here.as_py() or ())
-                lines = data.split(b"\n")
-                kept = lines
-                if drop:
-                    cut = {k for i, (a, b) in enumerate(chunks(data, every)) if i in drop for k in range(a, b)}
-                    kept = [x for k, x in enumerate(lines) if k not in cut]
-                new = b"\n".join(kept).decode() if value.is_valid else None
-                out.append({"text": new, "lines": len(lines), "kept": len(kept), "removed": len(drop)})
-            yield pa.array(out, pa.struct([
-                ("text", pa.string()), ("lines", pa.int32()), ("kept", pa.int32()), ("removed", pa.int32())
-            ]))
-
-    found = with_lists(docs, lists, "seqs", text).withColumn("new", removed("text", "seqs"))
-    base = docs.drop("lines", "kept_lines", "removed_chunks")
-    return with_text(
-        found, base, text, F.col("new.text"), F.col("new.lines").alias("lines"),
-        F.col("new.kept").alias("kept_lines"), F.col("new.removed").alias("removed_chunks"),
+    others = without(docs, text, "lines", "kept_lines", "removed_chunks")
+    text_at, cuts_at = unused("text", docs), unused("cuts", docs)
+    found = with_lists(docs, lists, "cuts", text).select(
+        *(F.col("row")[c].alias(c) for c in others), F.col("text").alias(text_at), F.col("cuts").alias(cuts_at)
+    )
+    new = StructType.fromDDL("text string, lines int, kept_lines int, removed_chunks int").fields
+    schema = StructType([*found.schema.fields[:-2], *new])
+    schema.fields[-4].name = schema.names[-4] = text_at
+    names = [f.name for f in schema.fields]
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in steps(batch.column(batch.num_columns - 2)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                out = []
+                for value, cuts in zip(texts, part.column(part.num_columns - 1), strict=True):
+                    lines = (value or "").encode().split(b"\n")
+                    drop = {(c["first"], c["last"]) for c in cuts.as_py() or ()}
+                    cut = {i for a, b in drop for i in range(a, b)}
+                    kept = [x for i, x in enumerate(lines) if i not in cut]
+                    out.append((None if value is None else b"\n".join(kept).decode(), len(lines), len(kept), len(drop)))
+                made = [pa.array(x, f) for x, f in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *made], names)
+        release()
+
+    made = found.mapInArrow(removed, schema)
+    return made.select(
+        *(F.col(text_at).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c in [*others, text]),
+        "lines", "kept_lines", "removed_chunks",
     )

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspan.llm.common import (
-    join_counted, mixed, pieces_of, rank, row_keys, small, steps, table_of,
+    join_counted, map_steps, mixed, pieces_of, rank, release, row_keys, small, steps, table_of,
 )
 from linkspan.sources.scratch import settle
 
@@ -60,7 +60,7 @@ class _Hashes(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -114,22 +114,23 @@ def survey(docs: DataFrame, text: str, words: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.int64)
         for batch in batches:
-            sizes, nodes, parities = [], [], []
+            at = 0
             for run in steps(batch.column(2)):
                 sets = [shingles(t, words) for t in run]
-                sizes += map(len, sets)
-                nodes += map(node_of, sets)
-                parities += map(parity, sets)
+                part = batch.slice(at, len(run))
+                at += len(run)
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-            none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            odd = np.array(parities, np.int64).reshape(-1, len(PARITY))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(nodes, pa.binary()),
-                *(pa.array(odd[:, i]) for i in range(len(PARITY))), *none,
-            ], names)
+                none = pa.nulls(len(run), pa.int32()), pa.nulls(len(run), pa.binary())
+                odd = np.array(list(map(parity, sets)), np.int64).reshape(-1, len(PARITY))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int32()),
+                    pa.array(list(map(node_of, sets)), pa.binary()), *(pa.array(odd[:, i]) for i in range(len(PARITY))), *none,
+                ], names)
         pieces = pieces_of(sketch)
         empty = [pa.nulls(len(pieces), k) for k in kinds[:-2]]
         yield pa.RecordBatch.from_arrays([*empty, *pieces.columns], names)
+        _hashes.clear()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text)
     return rows.mapInArrow(scan, schema)
@@ -185,6 +186,8 @@ def prefixes(reps: DataFrame, often: np.ndarray, share: int, words: int) -> Data
                     pa.array(np.concatenate(tokens)), pa.array(each[:, 0]),
                     *(pa.array(each[:, i].astype(np.int32)) for i in (1, 2, 3)), pa.array(places),
                 ], ["token", "id", "n", "l", "rare", "pos"])
+        _hashes.clear()
+        release()
 
     return reps.select("id", "text").mapInArrow(cut, "token long, id long, n int, l int, rare int, pos int")
 
@@ -224,15 +227,11 @@ def similar(pairs: DataFrame, reps: DataFrame, share: int, words: int, broadcast
     that can't share enough; whole sets go to the others.
     """
 
-    @F.arrow_udf("binary")
-    def drawn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([histogram(shingles(t, words)).tobytes() for run in steps(batch) for t in run], pa.binary())
+    def drawn(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([histogram(shingles(t, words)).tobytes() for t in texts], pa.binary())]
 
-    @F.arrow_udf("binary")
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([shingles(t, words).tobytes() for run in steps(batch) for t in run], pa.binary())
+    def packed(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([shingles(t, words).tobytes() for t in texts], pa.binary())]
 
     @F.arrow_udf("boolean")
     def possible(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -255,9 +254,8 @@ def similar(pairs: DataFrame, reps: DataFrame, share: int, words: int, broadcast
 
     def checked(rows: DataFrame, made, test, more: list[str], name: str) -> DataFrame:
         ids = settle(rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}_ids")
-        sets = settle(
-            reps.join(small(ids, broadcast_rows), "id", "left_semi").select("id", made("text").alias("own")), name
-        )
+        found = reps.join(small(ids, broadcast_rows), "id", "left_semi")
+        sets = settle(map_steps(found, ["id"], F.col("text"), made, "own binary"), name)
         one, two = (sets.select(F.col("id").alias(c), F.col("own").alias(f"set_{c}")) for c in ("a", "b"))
         return rows.join(one, "a").join(two, "b").where(test("set_a", "set_b", *more)).select(*rows.columns)
 

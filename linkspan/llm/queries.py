@@ -18,8 +18,7 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    tokens = bpe.encode(read(spark, sf_dir, "documents"), vocabulary, decoded=True, keep=["doc_id"])
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -48,36 +47,47 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LINE_CHUNKS_SQL = """
+LINE_CHUNKS_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
 ), h AS (
-  SELECT *, CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS own FROM l
+  SELECT *, CAST(concat('0x', substr(md5(line), 1, 8)) AS BIGINT) AS own,
+         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS w, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), r AS (
-  SELECT *, (31 * lag(own, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + own) % 4294967296 % 4 = 0 AS ends FROM h
+  SELECT *, (31 * lag(own, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + own) % 4294967296 AS rolled FROM h
+), v AS (
+  SELECT r.*, factor, rolled * factor % 4294967296 AS v
+  FROM r, (SELECT unnest([1, 40503, 1103515245, 69069, 1664525]) AS factor)
+), e AS (
+  SELECT *, w > 1 AND w < n - 1 AND v < lag(v) OVER own_way AND v <= lead(v) OVER own_way AS ends
+  FROM v WINDOW own_way AS (PARTITION BY doc_id, factor ORDER BY i)
 ), s AS (
   SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (
-    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq FROM r
+    PARTITION BY doc_id, factor ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq FROM e
 ), c AS (
-  SELECT doc_id, seq, string_agg(line, chr(10) ORDER BY i) AS body,
-         count(*) FILTER (regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS full_lines
-  FROM s GROUP BY 1, 2
+  SELECT DISTINCT doc_id, min(i) AS first, max(i) AS last FROM s GROUP BY doc_id, factor, seq HAVING count(*) > 1
+), b AS (
+  SELECT doc_id, first, last, array_to_string(lines[first:last], chr(10)) AS body
+  FROM c JOIN (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) USING (doc_id)
 ), gone AS (
-  SELECT doc_id, seq FROM (
-    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, seq) AS place FROM c WHERE full_lines > 1
+  SELECT doc_id, first, last FROM (
+    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM b
   ) WHERE place > 1
+), cut AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM gone
 ), kept AS (
-  SELECT s.doc_id, count(*) AS kept_lines, string_agg(line, chr(10) ORDER BY i) AS body
-  FROM s ANTI JOIN gone ON s.doc_id = gone.doc_id AND s.seq = gone.seq GROUP BY 1
-), n AS (
+  SELECT l.doc_id, count(*) AS kept_lines, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM l ANTI JOIN cut ON l.doc_id = cut.doc_id AND l.i = cut.i GROUP BY 1
+), m AS (
   SELECT doc_id, count(*) AS removed_chunks FROM gone GROUP BY 1
 ), t AS (
   SELECT doc_id, count(*) AS lines FROM l GROUP BY 1
 )
 SELECT t.doc_id, lines, coalesce(kept_lines, 0) AS kept_lines, coalesce(removed_chunks, 0) AS removed_chunks,
        sha256(coalesce(body, '')) AS kept_sha256
-FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 

@@ -382,3 +382,56 @@ def test_windows_keep_a_budget_of_tokens(spark, monkeypatch):
         bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)))
     assert chat.read_back(windows(none)).count() == 0
 
+
+def line_brute(docs):
+    """Plain chunks of the distinct rows: what each keeps."""
+    def cut(lines):
+        worded = [i for i, x in enumerate(lines) if x.split()]
+        own = [int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16) for i in worded]
+        rolled = [(31 * (own[k - 1] if k else 0) + own[k]) % 2**32 for k in range(len(own))]
+        found = set()
+        for factor in line_dedup.FACTORS:
+            v = [r * factor % 2**32 for r in rolled]
+            begin = 0
+            for k in range(len(own)):
+                inner = 1 <= k <= len(own) - 3 and v[k] < v[k - 1] and v[k] <= v[k + 1]
+                if inner or k == len(own) - 1:
+                    if k > begin:
+                        found.add((worded[begin], worded[k] + 1))
+                    begin = k + 1
+        return sorted(found)
+
+    first, out = {}, {}
+    order = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0, d[1] or ""))
+    all_chunks = []
+    for n, (doc_id, text) in enumerate(order):
+        lines = (text or "").split("\n")
+        for a, b in cut(lines):
+            body = "\n".join(lines[a:b])
+            first.setdefault(body, (n, a))
+            all_chunks.append((n, a, b, body))
+    for n, (doc_id, text) in enumerate(order):
+        lines = (text or "").split("\n")
+        gone = {i for m, a, b, body in all_chunks if m == n and first[body] != (n, a) for i in range(a, b)}
+        out[doc_id, text] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_line_chunks_against_brute_force(spark, broadcast_rows):
+    rng = random.Random(11)
+    pool = [f"line {i} of words" for i in range(40)] + ["", " ", "x"]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))) for i in range(80)]
+    run = "\n".join(f"shared {i}" for i in range(12))
+    docs += [(100 + i, f"own {i}\n{run}\nend {i}") for i in range(20)]
+    docs += [(2**53 + 1, docs[3][1]), (2**53 + 3, docs[3][1]), (7, docs[7][1]), (200, None), (None, "one\ntwo"), (201, "a\r\nb")]
+    df = spark.createDataFrame([(i, t, 5, b"z") for i, t in docs], "doc_id long, text string, lines int, body binary")
+    got = line_dedup.dedup(df, broadcast_rows=broadcast_rows)
+    assert got.columns == ["doc_id", "text", "body", "lines", "kept_lines", "removed_chunks"]
+    want = line_brute(docs)
+    rows = got.collect()
+    assert len(rows) == len(docs)
+    by = Counter((r["doc_id"], r["text"]) for r in rows)
+    assert by == Counter((i, want[i, t]) for i, t in docs)
+    # Of an exact copy nothing with a word is left.
+    assert all(not (r["text"] or "").split() for r in rows if r["doc_id"] in (2**53 + 1, 2**53 + 3))
