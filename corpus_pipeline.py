@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of two or more lines go; so do documents that had words and have none left."""
-    cleaned = line_dedup.dedup(docs, every=0)
+    """Repeated chunks of two or more lines go; so do documents that had words and have none left."""
+    cleaned = line_dedup.dedup(docs)
     word = r"[^\x20\x09-\x0D]"
     left = F.coalesce(F.col("text").rlike(word), F.lit(False)) | (F.col("removed_chunks") == 0)
     return cleaned.where(left).withColumn(
@@ -48,7 +48,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with a digest of what they decode to."""
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    made = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary), vocabulary)
+    made = bpe.encode(docs, vocabulary, decoded=True, keep=["doc_id", "lang", "source"], forget=True)
     return made.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
