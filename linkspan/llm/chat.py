@@ -30,7 +30,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,7 +190,7 @@ def read_back(shown: DataFrame) -> DataFrame:
         "loss_sha256 string, formatted_chars long"
     )
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, row, all_turns, all_loss = None, None, None, None
 
         def closed() -> dict:
@@ -199,33 +198,27 @@ def read_back(shown: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for w in batch.itertuples(index=False):
-                if row is None or w.key != key:
+            for n in range(batch.num_rows):
+                own, conv_id, _, repeated, formatted, loss = (c[n].as_py() for c in batch.columns)
+                if row is None or own != key:
                     if row is not None:
                         done.append(closed())
-                    key, all_turns, all_loss = w.key, hashlib.sha256(), hashlib.sha256()
-                    row = {
-                        "key": key, "conv_id": None if pd.isna(w.conv_id) else int(w.conv_id),
-                        "n_turns": 0, "loss_chars": 0, "formatted_chars": 0,
-                    }
-                row["formatted_chars"] += len(w.formatted)
-                for role, text in parse(w.formatted)[w.repeated:]:
+                    key, all_turns, all_loss = own, hashlib.sha256(), hashlib.sha256()
+                    row = {"key": key, "conv_id": conv_id, "n_turns": 0, "loss_chars": 0, "formatted_chars": 0}
+                row["formatted_chars"] += len(formatted)
+                for role, text in parse(formatted)[repeated:]:
                     row["n_turns"] += 1
                     all_turns.update(f"{role}\n{text}\n".encode())
-                for span in w.loss:
-                    text = unescape(w.formatted[span["start"]:span["end"]])
+                for span in loss:
+                    text = unescape(formatted[span["start"]:span["end"]])
                     row["loss_chars"] += len(text)
                     all_loss.update(text.encode())
             if done:
-                yield _frame(done)
+                yield pa.RecordBatch.from_pylist(done, fields)
         if row is not None:
-            yield _frame([closed()])
-
-    names = [f.split()[0] for f in made.split(", ")]
-
-    def _frame(rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=names)
-        return frame.assign(conv_id=frame["conv_id"].astype("Int64"))
+            yield pa.RecordBatch.from_pylist([closed()], fields)
 
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in made.split(", "))])
     ordered = shown.select("key", "conv_id", "first", "repeated", "formatted", "loss").repartition("key")
-    return ordered.sortWithinPartitions("key", "first").mapInPandas(digest, made)
+    return ordered.sortWithinPartitions("key", "first").mapInArrow(digest, made)

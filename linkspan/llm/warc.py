@@ -29,8 +29,9 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ RECORD = (
     "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
     "refers_to long, payload binary, file string, position long"
 )
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+_RECORD = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split() for f in RECORD.split(", "))])
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -53,13 +56,15 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def record(
-    kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, place: str = ""
+    kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, place: str = "",
+    date: str = "1970-01-01T00:00:00Z",
 ) -> bytes:
-    """A gzip member with one record; a revisit has no body. `place`: its file and position."""
+    """A gzip member with one record; a revisit has no body. `place`: its file and position, which make its id."""
     body = payload if kind == "response" else b""
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {kind} {digest}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} {page_id} {kind} {digest}')}>"),
+        ("WARC-Date", date),
         ("WARC-Target-URI", " ".join((url or "").split())),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Length", len(payload)),
@@ -104,31 +109,37 @@ def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
     )
 
 
+MANIFEST = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
+
+
 def write(planned: DataFrame, folder: str) -> DataFrame:
-    """Write the archives below `folder`; gives the manifest (file, bytes, records)."""
+    """Write the archives below `folder`; gives the manifest (file, bytes, records).
+
+    All records have the date of this call.
+    """
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
-    def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         name, out, records = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
         size = 0
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for n in range(batch.num_rows):
+                page_id, url, payload, digest, kind, keeper = (c[n].as_py() for c in batch.columns)
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                ids = [None if pd.isna(x) else int(x) for x in (row.page_id, row.refers_to)]
-                member = record(
-                    row.record_type, ids[0], row.url, bytes(row.payload), row.digest, ids[1], f"{name}@{size}"
-                )
+                member = record(kind, page_id, url, payload, digest, keeper, f"{name}@{size}", date)
                 out.write(member)
                 size += len(member)
                 records += 1
         if out is not None:
             out.close()
-            yield pd.DataFrame({"file": [name], "bytes": [size], "records": [records]})
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([records])], schema=MANIFEST)
 
     manifest = f"{folder.rstrip('/')}/manifest"
-    planned.mapInPandas(archive, "file string, bytes long, records long").write.parquet(manifest)
+    rows = planned.select("page_id", "url", "payload", "digest", "record_type", "refers_to")
+    rows.mapInArrow(archive, "file string, bytes long, records long").write.parquet(manifest)
     return planned.sparkSession.read.schema("file string, bytes long, records long").parquet(manifest)
 
 
@@ -210,29 +221,22 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, range_byte
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.where("bytes > 0").select("file", F.col("bytes").alias("size"), starts.alias("start"))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in batch.to_pylist():
                 found, held = [], 0
-                with store.open_input_file(f"{base}/{row.file}") as stream:
+                with store.open_input_file(f"{base}/{row['file']}") as stream:
                     for place, data in members(
-                        stream, row.size, row.start, row.start + range_bytes, row.file
+                        stream, row["size"], row["start"], row["start"] + range_bytes, row["file"]
                     ):
-                        found.append({**parsed(data), "file": row.file, "position": place})
+                        found.append({**parsed(data), "file": row["file"], "position": place})
                         held += len(data)
                         if held > 16 << 20:
-                            yield _frame(found)
+                            yield pa.RecordBatch.from_pylist(found, _RECORD)
                             found, held = [], 0
                 if found:
-                    yield _frame(found)
+                    yield pa.RecordBatch.from_pylist(found, _RECORD)
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return ranges.repartition(tasks).mapInPandas(scan, RECORD)
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    made = pd.DataFrame(rows)
-    for name in ("page_id", "refers_to"):
-        made[name] = made[name].astype("Int64")
-    return made
+    return ranges.repartition(tasks).mapInArrow(scan, RECORD)
