@@ -34,15 +34,19 @@ PATTERN_SCHEMA = (
 
 
 def comparison_pairs(manual: DataFrame, results: DataFrame, master: DataFrame,
-                     statuses: tuple[str, ...] | None = (codes.PENDING, codes.FAILED)) -> DataFrame:
+                     statuses: tuple[str, ...] | None = (codes.PENDING, codes.FAILED),
+                     limit: int | None = None) -> DataFrame:
     """Open review rows beside the registry row they are compared with.
 
     A row with a nik of its own meets the registry on it; a row without one
     takes the partner found by the match.  Each review row appears once.
-    `statuses=None` takes rows of any status (a single row asked for by id).
+    `statuses=None` takes rows of any status (a single row asked for by id). `limit` takes
+    the first so many of them by id, none all.
     """
     if statuses is not None:
         manual = manual.filter(F.col("reasoning_status").isin(*statuses))
+    if limit is not None:
+        manual = manual.orderBy("id").limit(limit)
     row = manual.select(
         "id", "file_id", "id_incoming", "nik_incoming",
         *[F.col(source).alias(name) for source, name in _PAIR_FIELDS],

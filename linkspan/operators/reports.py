@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspan import codes
@@ -87,6 +87,34 @@ def newest_first(df: DataFrame, number: int, size: int) -> DataFrame:
     return page(df, number, size, F.col("upload_timestamp").desc(), F.col("file_id"))
 
 
+def page_by_day(df: DataFrame, number: int, size: int, time: str = "upload_timestamp", key: str = "file_id") -> DataFrame:
+    """One page, newest first, rows without a time last; `key` is unique.
+
+    Rows are counted by day first. The counts, one row a day, say on which days the page
+    lies and how many rows of them come before it, so only the rows of these days are
+    sorted, whatever the page's number.
+    """
+    skipped = (number - 1) * size
+    day = F.to_date(time)
+    days = df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.col("day").desc_nulls_last()))
+    met = days.withColumn("upto", upto).filter(
+        (F.col("upto") > skipped) & (F.col("upto") - F.col("n") < skipped + size)
+    ).agg(
+        F.min("day").alias("low"), F.max("day").alias("high"), F.count_if(F.col("day").isNull()).alias("no_time"),
+        F.min(F.col("upto") - F.col("n")).alias("before"),
+    ).first()
+    if met["before"] is None:
+        return df.filter(F.lit(False))
+    inside = F.lit(False)
+    if met["low"] is not None:
+        inside = day.between(F.lit(met["low"]), F.lit(met["high"]))
+    if met["no_time"]:
+        inside = F.coalesce(inside, F.lit(False)) | day.isNull()
+    newest = [F.col(time).desc_nulls_last(), F.col(key)]
+    return df.filter(inside).orderBy(*newest).offset(skipped - met["before"]).limit(size)
+
+
 def percentage(part: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(part / total * 100, 2)).otherwise(0.0)
 
@@ -117,6 +145,12 @@ def history(files: DataFrame, results: DataFrame, institution: str | None = None
     )
 
 
+def history_page(files: DataFrame, results: DataFrame, number: int, size: int, institution: str | None = None,
+                 start: str | None = None, end: str | None = None) -> DataFrame:
+    """A page of `history`, newest first."""
+    return page_by_day(history(files, results, institution, start, end), number, size)
+
+
 def dashboard_summary(files: DataFrame) -> DataFrame:
     """Counts of files by state and grade, as one row.
 

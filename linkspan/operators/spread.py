@@ -73,3 +73,18 @@ def children_of_latest(df: DataFrame, keys: list[str], version: str) -> DataFram
     """All rows that belong to the latest version of their key."""
     newest = df.groupBy(*keys).agg(F.max(version).alias(version))
     return df.join(newest, [*keys, version], "left_semi")
+
+
+def ordered_children_of_latest(df: DataFrame, keys: list[str], version: str, order: list[str],
+                               children: list[str]) -> DataFrame:
+    """One row per key: its latest version, and `items`, an array of its children in order.
+
+    The latest version is found by a pre-aggregated maximum, so rows of earlier ones don't
+    move. A version's children come to one row, as its reader wants them.
+    """
+    newest = df.groupBy(*keys).agg(F.max(version).alias(version))
+    mine = df.join(newest, [*keys, version], "left_semi")
+    in_order = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("place"), F.struct(*children).alias("child"))))
+    return mine.groupBy(*keys, version).agg(in_order.alias("items")).withColumn(
+        "items", F.transform("items", lambda x: x["child"])
+    )

@@ -680,6 +680,23 @@ def history_by_file(spark, sf_dir):
     )
 
 
+_HISTORY_SQL = (
+    with_tables("files_v", "results_v",
+                c="SELECT file_id, count(*) FILTER (WHERE match_result = 1) AS a,"
+                  " count(*) FILTER (WHERE match_result = 4) AS m,"
+                  " count(*) FILTER (WHERE match_result IN (3, 5)) AS u FROM results_v GROUP BY file_id")
+    + "SELECT f.file_id, institution_name, original_filename, upload_timestamp, export_status,"
+      " a AS total_auto_match, m AS total_manual_match, u AS total_unmatch,"
+      " CASE WHEN a + m + u > 0 THEN round(u / (a + m + u) * 100, 2) ELSE 0 END AS percentage_unmatch"
+      " FROM files_v f JOIN c ON f.file_id = c.file_id WHERE sync_status = 3"
+)
+
+
+@query(_HISTORY_SQL + " ORDER BY upload_timestamp DESC, f.file_id LIMIT 2 OFFSET 2")
+def history_page(spark, sf_dir):
+    return reports.history_page(derive(spark, sf_dir, "files_v"), derive(spark, sf_dir, "results_v"), 2, 2)
+
+
 @query(
     with_tables("files_v")
     + "SELECT count(*) AS total_files, count(*) FILTER (WHERE is_sync = 0) AS total_pending,"
@@ -1302,6 +1319,18 @@ def children_of_latest(spark, sf_dir):
     return spread.children_of_latest(versions, ["conv_id"], "version").select("conv_id", "version", "turn", "role", "text")
 
 
+@query(
+    "SELECT conv_id, version, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS said, count(*) AS n_children FROM ("
+    "SELECT conv_id, cast(floor(turn / 4) as bigint) AS version, turn, role, text FROM conversations"
+    " QUALIFY version = max(version) OVER (PARTITION BY conv_id)) GROUP BY conv_id, version"
+)
+def ordered_children_of_latest(spark, sf_dir):
+    versions = _table(spark, sf_dir, "conversations").withColumn("version", F.floor(F.col("turn") / 4).cast("long"))
+    found = spread.ordered_children_of_latest(versions, ["conv_id"], "version", ["turn"], ["role", "text"])
+    line = F.transform("items", lambda x: F.concat(x["role"], F.lit(": "), x["text"]))
+    return found.select("conv_id", "version", F.array_join(line, "\n").alias("said"), F.size("items").cast("long").alias("n_children"))
+
+
 @query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations")
 def conversation_messages(spark, sf_dir):
     return conversations.number_messages(_table(spark, sf_dir, "conversations"), "conv_id", "turn")
