@@ -1,8 +1,7 @@
 """Search over chunks: dense vectors, BM25 terms, and both fused by rank.
 
-A search is a batch of requests against a whole collection.  The collection is
-read in place; the requests go to the tasks in blocks of a fixed size, and each
-task passes on only its k best hits per request.
+A search is a batch of requests against a whole collection.  Each task passes on
+only its k best hits per request.
 """
 
 from __future__ import annotations
@@ -18,9 +17,14 @@ from linkspan.sources.scratch import settle
 
 BM25_K1, BM25_B = 1.2, 0.75
 RANK_CONSTANT = 60
-REQUEST_BLOCK = 2_000  # vectors of one block sent to the tasks
+REQUEST_BLOCK = 2_000  # request vectors of one block or piece
+VECTOR_BLOCK = 20_000  # vectors of one piece, on average
+STRIP = 2_000  # vectors compared with a block of requests at once
 TERM_ROWS = 1_000_000  # request terms sent to the tasks up to here
 SCORE_DIGITS = 6
+_HIT_NAMES = ["query_id", "item_id", "score"]
+_HIT_SCHEMA = "query_id long, item_id long, score double"
+_HITS = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
 
 def _top(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -31,53 +35,99 @@ def _top(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """Function over Arrow batches: k nearest of the request vectors per batch."""
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length one, a row each; those of length zero stay as they are."""
+    rows = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms > 0, norms, 1.0)
+
+
+def _best(asked: np.ndarray, requests: np.ndarray, items: np.ndarray, vectors: np.ndarray, k: int):
+    """Record batches with the k best items per request of each strip of `STRIP` vectors.
+
+    Only what reaches a request's k-th score is sorted, ties included, so the smallest id
+    wins as it does over all items.
+    """
+    for start in range(0, len(items), STRIP):
+        ids = items[start:start + STRIP]
+        score = np.round(requests @ vectors[start:start + STRIP].T, SCORE_DIGITS)
+        if len(ids) > k:
+            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            row, column = np.nonzero(score >= least[:, None])
+        else:
+            row, column = (x.ravel() for x in np.indices(score.shape))
+        order = np.lexsort((ids[column], -score[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[place < k], column[place < k]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(asked[row]), pa.array(ids[column]), pa.array(score[row, column])], names=_HIT_NAMES
+        )
+
+
+def _in_place(asked: np.ndarray, requests: np.ndarray, k: int):
+    """Function over Arrow batches of vectors: the k best of each strip."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            norms = np.linalg.norm(vectors, axis=1)
-            cosine = (matrix @ vectors.T) / np.where(norms > 0, norms, 1.0)
-            cosine = np.round(cosine, SCORE_DIGITS)
-            items = batch.column(0).to_numpy(zero_copy_only=False)
-            order = np.lexsort((np.broadcast_to(items, cosine.shape), -cosine), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, order.shape[1])),
-                    pa.array(items[order].ravel()),
-                    pa.array(np.take_along_axis(cosine, order, axis=1).ravel()),
-                ],
-                names=["query_id", "item_id", "score"],
-            )
+            if batch.num_rows:
+                items = batch.column(0).to_numpy(zero_copy_only=False)
+                yield from _best(asked, requests, items, _matrix(batch.column(1)), k)
+
+    return search
+
+
+def _cell(k: int):
+    """Function over a cell of the grid: the k best of its vectors for each of its requests."""
+
+    def search(vectors: pa.Table, requests: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not requests.num_rows:
+            return _HITS.empty_table()
+        found = _best(
+            requests["query_id"].to_numpy(), _matrix(requests["vector"]),
+            vectors["item_id"].to_numpy(), _matrix(vectors["vector"]), k,
+        )
+        return pa.Table.from_batches(found, _HITS)
 
     return search
 
 
-def dense_topk(vectors: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
+def _usable(df: DataFrame, ident: str) -> DataFrame:
+    """Ids as longs with the vectors that can be compared."""
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return df.select(F.col(ident).cast("long"), "vector").where(
+        F.col(ident).isNotNull() & F.col("vector").isNotNull() & ~bad
+    )
+
+
+def dense_topk(vectors: DataFrame, requests: DataFrame, k: int = 5,
+               request_block: int | None = None, vector_block: int | None = None) -> DataFrame:
     """k nearest vectors (cosine) per request: query_id, item_id, score, rank.
 
-    `vectors`: item_id, vector; `requests`: query_id, vector.  Ids are longs.
+    `vectors`: item_id, vector; `requests`: query_id, vector.  Ids are numbers, one row
+    each; rows without id or whose vector is null or holds null or NaN take no part.
+
+    Requests of one block (`request_block`) go to the tasks, which read the vectors where
+    they are.  More requests form a grid with the vectors: pieces of both sides, a cell for
+    each pair of pieces.  A cell is one group that holds a piece of either side and passes
+    on k items a request, so no task, and not the driver, holds all of one side.
     """
-    n_blocks = -(-requests.count() // REQUEST_BLOCK) or 1
-    found = None
-    for block in range(n_blocks):
-        part = requests.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        rows = part.select("query_id", "vector").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(norms > 0, norms, 1.0)
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        hits = vectors.select(F.col("item_id").cast("long"), "vector").mapInArrow(
-            _nearest(ids, matrix, k), "query_id long, item_id long, score double"
-        )
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, item_id long, score double")
+    request_block, vector_block = request_block or REQUEST_BLOCK, vector_block or VECTOR_BLOCK
+    vectors, requests = _usable(vectors, "item_id"), _usable(requests, "query_id")
+    asked = requests.limit(request_block + 1).toArrow()  # never more than one block
+    if not asked.num_rows:
+        found = vectors.sparkSession.createDataFrame([], _HIT_SCHEMA)
+    elif asked.num_rows <= request_block:
+        search = _in_place(asked["query_id"].to_numpy(), _matrix(asked["vector"]), k)
+        found = vectors.mapInArrow(search, _HIT_SCHEMA)
+    else:
+        down = -(-requests.count() // request_block)
+        across = -(-vectors.count() // vector_block) or 1
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
+        left = vectors.select("item_id", "vector", own("item_id", across).alias("x"), every(down).alias("y"))
+        right = requests.select("query_id", "vector", own("query_id", down).alias("y"), every(across).alias("x"))
+        found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(_cell(k), _HIT_SCHEMA)
     return _top(found, "query_id", "item_id", k)
 
 

@@ -1257,6 +1257,18 @@ def dense_topk(spark, sf_dir):
     return search.dense_topk(_vectors(spark, sf_dir), requests)
 
 
+@query(
+    "WITH qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings),"
+    f" d AS ({_DENSE_SQL}) " + _ranked("d")
+)
+def dense_neighbours(spark, sf_dir):
+    """Nearest vectors of every vector, by a grid of pieces of both sides."""
+    vectors = _vectors(spark, sf_dir)
+    return search.dense_topk(
+        vectors, vectors.withColumnRenamed("item_id", "query_id"), request_block=200, vector_block=400
+    )
+
+
 _BM25_TEXTS = dict(
     w=r"SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents",
     n="SELECT count(*) AS n, avg(len(words)) AS mean FROM w",

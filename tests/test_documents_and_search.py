@@ -84,6 +84,36 @@ def test_dense_equals_brute_force(spark, monkeypatch, block):
         assert [got[(q, r)] for r in (1, 2, 3)] == list(np.argsort(-cos[q])[:3])
 
 
+@pytest.mark.parametrize("block, piece", [(100, 100), (4, 7), (1, 1)])
+def test_dense_ties_and_odd_vectors(spark, block, piece):
+    rng = np.random.default_rng(2)
+    base = [v.tolist() for v in rng.integers(-2, 3, size=(6, 3)).astype(float)]
+    rows = [(i, base[i % 6]) for i in range(30)]  # five of each, so ranks rest on ids
+    odd = [(90, None), (91, [1.0, None, 2.0]), (92, [float("nan"), 0.0, 1.0]), (None, base[0]), (93, [0.0, 0.0, 0.0])]
+    items = spark.createDataFrame(rows + odd, "item_id long, vector array<double>")
+    got = search.dense_topk(items, items.withColumnRenamed("item_id", "query_id"), 4, block, piece)
+    assert got.dtypes == search.dense_topk(items, items.limit(0).withColumnRenamed("item_id", "query_id")).dtypes
+    got = {(r["query_id"], r["rank"]): r["item_id"] for r in got.collect()}
+    whole = rows + [odd[-1]]
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) + 0.0 if size else 0.0
+
+    want = {}
+    for q, v in whole:
+        best = sorted(whole, key=lambda r: (-cosine(v, r[1]), r[0]))[:4]
+        want.update({(q, n): i for n, (i, _) in enumerate(best, 1)})
+    assert got == want
+
+
+def test_dense_without_vectors(spark):
+    items = spark.createDataFrame([], "item_id long, vector array<double>")
+    asked = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3)], "query_id long, vector array<double>")
+    assert search.dense_topk(items, asked).count() == 0
+    assert search.dense_topk(items, asked, request_block=2).count() == 0
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, item_id long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, item_id long, rank int")
