@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from linkspan import codes
 from linkspan.functions import text as tx
-from linkspan.operators.spread import send_if_small
+from linkspan.operators.spread import first_of_wanted, join_unique
 from linkspan.sources.scratch import settle
 
 SAME, EMPTY_IN, EMPTY_MASTER, DIFFERENT = "SAMA", "KOSONG_INCOMING", "KOSONG_MASTER", "BEDA"
@@ -62,7 +62,9 @@ def comparison_pairs(manual: DataFrame, results: DataFrame, master: DataFrame,
         .withColumn("join_nik", F.col("nik_master")).drop("nik_master")
     )
     # Both paths exclude each other, so one join with the registry serves both.
-    pairs = send_if_small(own.unionByName(matched)).join(registry, "join_nik").drop("join_nik")
+    asked = settle(own.unionByName(matched), "asked")
+    registry = first_of_wanted(registry, "join_nik", asked)
+    pairs = join_unique(asked, registry, "join_nik", ["file_id", "id"], "inner").drop("join_nik")
     rest = [c for c in pairs.columns if c != "id"]
     one = pairs.groupBy("id").agg(F.min(F.struct(*rest)).alias("pair"))
     return one.select("id", *[F.col(f"pair.{c}").alias(c) for c in rest])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspan import codes
-from linkspan.operators.spread import send_if_small
+from linkspan.operators.spread import first_of_wanted, join_unique
 
 
 def label_table(spark: SparkSession, labels: dict[int, str], code: str, label: str) -> DataFrame:
@@ -229,11 +229,7 @@ def review_page(results: DataFrame, manual: DataFrame, file_id: str, number: int
 
 def registry_rows(master: DataFrame, niks: DataFrame) -> DataFrame:
     """Registry rows of the given niks, each once: of several rows of a nik the smallest."""
-    wanted = niks.select("nik").filter(F.col("nik").isNotNull()).distinct()
-    found = master.select(*codes.MASTER_COLUMNS).join(send_if_small(wanted), "nik", "left_semi")
-    rest = [c for c in codes.MASTER_COLUMNS if c != "nik"]
-    one = found.groupBy("nik").agg(F.min(F.struct(*rest)).alias("row"))
-    return one.select(*(F.col("nik") if c == "nik" else F.col(f"row.{c}").alias(c) for c in codes.MASTER_COLUMNS))
+    return first_of_wanted(master.select(*codes.MASTER_COLUMNS), "nik", niks)
 
 
 def uploaded_rows(curated: DataFrame, ids: DataFrame) -> DataFrame:
@@ -253,10 +249,10 @@ def side_by_side(rows: DataFrame, incoming: DataFrame, master: DataFrame) -> Dat
     registry = registry_rows(master, rows.select(F.col("nik_master").alias("nik"))).select(
         F.col("nik").alias("nik_master"), F.struct(*codes.MASTER_COLUMNS).alias("master")
     )
-    joined = rows.join(
+    joined = join_unique(rows.join(
         uploaded.withColumn("id_incoming", F.col("id_incoming").cast("string")),
         ["file_id", "id_incoming"], "left",
-    ).join(registry, "nik_master", "left")
+    ), registry, "nik_master", ["file_id", "id_incoming"])
     keep = [c for c in ("side",) if c in rows.columns]
     return joined.select(
         *keep, "file_id", "id_incoming",
@@ -275,9 +271,9 @@ def export_matched(results: DataFrame, incoming: DataFrame, master: DataFrame) -
         F.col("nik").alias("nik_master"),
         *[F.col(c).alias(f"master_{c}") for c in codes.MASTER_COLUMNS],
     )
-    return (
-        keys.join(incoming, ["file_id", "id"], "left").join(registry, "nik_master", "left")
-        .select("file_id", *raw, *[f"master_{c}" for c in codes.MASTER_COLUMNS])
+    uploaded = keys.join(incoming, ["file_id", "id"], "left")
+    return join_unique(uploaded, registry, "nik_master", ["file_id", "id"]).select(
+        "file_id", *raw, *[f"master_{c}" for c in codes.MASTER_COLUMNS]
     )
 
 

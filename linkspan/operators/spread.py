@@ -10,6 +10,8 @@ from linkspan.sources.scratch import settle
 
 FILE_PARTS = 64
 KEYS_SENT = 200_000
+HOT_KEYS = 5_000  # keys that are split, at most
+PART_ROWS = 100_000  # rows of a key that stay together
 
 
 def join_by_file(rows: DataFrame, files: DataFrame, spread_by: str, how: str = "left",
@@ -25,11 +27,47 @@ def join_by_file(rows: DataFrame, files: DataFrame, spread_by: str, how: str = "
     return rows.withColumn("piece", cut).join(pieces, ["file_id", "piece"], how).drop("piece")
 
 
-def send_if_small(df: DataFrame, limit: int = KEYS_SENT) -> DataFrame:
-    """Write a table of keys; with at most `limit` rows it is sent to every task,
-    so that the large table it is joined with is read in place."""
-    kept = settle(df, "keys")
-    return F.broadcast(kept) if kept.count() <= limit else kept
+def first_of_wanted(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The smallest row of each wanted key; `wanted` has the key column, nulls are no keys.
+
+    Few keys are sent to the table. With many of them the table is brought to a row per
+    key before it moves, so a key with very many rows doesn't come to one task.
+    """
+    keys = settle(wanted.select(key).where(F.col(key).isNotNull()).distinct(), "keys")
+    rest = [c for c in table.columns if c != key]
+
+    def first(df: DataFrame) -> DataFrame:
+        return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
+
+    if keys.count() <= KEYS_SENT:
+        one = first(table.join(F.broadcast(keys), key, "left_semi"))
+    else:
+        one = first(table).join(keys, key, "left_semi")
+    return one.select(*(F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in table.columns))
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, spread_by: list[str], how: str = "left") -> DataFrame:
+    """Join rows (inner or left) with a table that has one row per key, whatever share one key has.
+
+    A small `unique` is sent to the tasks. Otherwise keys with more rows than a part holds
+    are cut into parts by a hash of the columns `spread_by`, and their row in `unique` is
+    repeated for each part. A part holds `PART_ROWS` rows or, of very many rows, a
+    `HOT_KEYS`th of all: fewer than `HOT_KEYS` keys can have more, so their list may be
+    sent. Rows without a key meet nothing and are spread as they are.
+    """
+    unique = settle(unique, "unique")
+    if unique.count() <= KEYS_SENT:
+        return rows.join(F.broadcast(unique), key, how)
+    rows = settle(rows, "rows")
+    part = max(PART_ROWS, -(-rows.count() // HOT_KEYS))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part)
+    hot = F.broadcast(settle(counts.select(key, F.ceil(F.col("_n") / part).cast("int").alias("_parts")), "hot"))
+    cut = F.coalesce("_parts", F.when(F.col(key).isNull(), HOT_KEYS), F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread_by), cut).cast("int"))
+    right = unique.join(hot, key, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    )
+    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"], how).drop("_part")
 
 
 def number_rows(df: DataFrame, group: str, order: str, name: str = "number",

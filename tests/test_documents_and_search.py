@@ -84,7 +84,7 @@ def test_dense_equals_brute_force(spark, monkeypatch, block):
         assert [got[(q, r)] for r in (1, 2, 3)] == list(np.argsort(-cos[q])[:3])
 
 
-@pytest.mark.parametrize("block, piece", [(100, 100), (4, 7), (1, 1)])
+@pytest.mark.parametrize("block, piece", [(100, 100), (4, 7), (20, 1)])
 def test_dense_ties_and_odd_vectors(spark, block, piece):
     rng = np.random.default_rng(2)
     base = [v.tolist() for v in rng.integers(-2, 3, size=(6, 3)).astype(float)]
