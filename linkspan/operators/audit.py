@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspan import codes
@@ -113,12 +113,12 @@ EVENT_SCHEMA = (
 
 
 def job_event(summary: DataFrame, action: str, result: str, latency_ms: int, now: Column,
-              actor: str = "system_auto") -> DataFrame:
+              actor: str = "system_auto", user: str = "system_poc") -> DataFrame:
     """One audit event per file of a job summary; the summary goes into
     after_state as JSON."""
     state = F.to_json(F.struct(*summary.columns))
     return summary.select(
-        now.alias("event_time"), F.lit("system_poc").alias("actor_user_id"),
+        now.alias("event_time"), F.lit(user).alias("actor_user_id"),
         F.lit(actor).alias("actor_org_id"), F.lit(action).alias("action"),
         F.lit("FILE").alias("resource_type"), F.col("file_id").alias("resource_id"),
         F.lit(None).cast("string").alias("before_state"), state.alias("after_state"),
@@ -126,12 +126,17 @@ def job_event(summary: DataFrame, action: str, result: str, latency_ms: int, now
     )
 
 
-def access_event(spark: SparkSession, action: str, resource_type: str, resource_id: str,
-                 ip_address: str, result: str, latency_ms: int, now: Column) -> DataFrame:
-    """One access event."""
-    return spark.range(1).select(
-        now.alias("event_time"), F.lit("anonymous_poc").alias("actor_user_id"),
-        F.lit(action).alias("action"), F.lit(resource_type).alias("resource_type"),
-        F.lit(resource_id).alias("resource_id"), F.lit(ip_address).alias("ip_address"),
-        F.lit(result).alias("result"), F.lit(latency_ms).cast("long").alias("latency_ms"),
+ACCESS_SCHEMA = (
+    "event_time timestamp, actor_user_id string, action string, resource_type string, "
+    "resource_id string, ip_address string, result string, latency_ms long"
+)
+
+
+def access_events(requests: DataFrame, actor: str = "anonymous_poc") -> DataFrame:
+    """Requests (event_time, action, resource_type, resource_id, ip_address, result,
+    latency_ms) as access events; those without an actor of their own get `actor`."""
+    named = F.col("actor_user_id") if "actor_user_id" in requests.columns else F.lit(None).cast("string")
+    return requests.withColumn("actor_user_id", F.coalesce(named, F.lit(actor))).select(
+        "event_time", "actor_user_id", "action", "resource_type", "resource_id", "ip_address", "result",
+        F.col("latency_ms").cast("long").alias("latency_ms"),
     )

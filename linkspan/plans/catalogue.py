@@ -16,6 +16,7 @@ from linkspan.operators import (
     search, spread, transactions,
 )
 from linkspan.operators.clean import clean_incoming, clean_master
+from linkspan.plans import pipeline
 from linkspan.plans.fixtures import derive, scan, with_tables
 from linkspan.sources import intake, tables
 from linkspan.sources.scratch import fresh_path, settle
@@ -1134,6 +1135,39 @@ def retention_apply(spark, sf_dir):
     return kept[0].unionByName(kept[1])
 
 
+_DONE = f"SELECT %s AS log, cast(%d as bigint) AS policy_id, timestamp '{NOW}' AS executed_at"
+
+
+@query(
+    with_tables("audit_v", "access_v", kept=_KEPT, done=f"{_DONE % ("'AUDIT_LOG'", 1)} UNION ALL {_DONE % ("'ACCESS_LOG'", 0)}")
+    + "SELECT log, policy_id, executed_at, (SELECT count(*) FROM kept WHERE kept.log = done.log) AS events,"
+      " (SELECT min(event_time) FROM kept WHERE kept.log = done.log) AS oldest FROM done"
+)
+def retention_job(spark, sf_dir):
+    """Both logs stored by day and aged twice: what was done, and what is left."""
+    store = pipeline.Store(fresh_path(spark, "retention"))
+    audit_log, requests = _logs(spark, sf_dir)
+    state = {c: F.lit(None).cast("string") for c in ("before_state", "after_state")}
+    columns = [c.split()[0] for c in audit.EVENT_SCHEMA.split(", ")]
+    tables.append_events(_timed(audit_log.withColumns(state)).select(*columns), store.audit)
+    pipeline.log_access(store, _timed(requests))
+    for _ in range(2):
+        actions = pipeline.retain(spark, store, _policies(spark), _now())
+    left = None
+    for kind in audit.LOG_TYPES:
+        part = pipeline.read_log(spark, store, kind).agg(
+            F.count(F.lit(1)).alias("events"), F.min("event_time").cast("timestamp_ntz").alias("oldest")
+        ).withColumn("log", F.lit(kind))
+        left = part if left is None else left.unionByName(part)
+    return actions.withColumnRenamed("resource_type", "log").join(left, "log").select(
+        "log", "policy_id", F.col("executed_at").cast("timestamp_ntz").alias("executed_at"), "events", "oldest"
+    )
+
+
+def _timed(log):
+    return log.withColumn("event_time", F.col("event_time").cast("timestamp"))
+
+
 @query(
     with_tables("audit_v")
     + "SELECT count(*) AS total_executions, count(*) FILTER (WHERE result = 'SUCCESS') AS success_executions,"

@@ -75,7 +75,7 @@ def match(spark: SparkSession, store: Store, master: DataFrame, rules: DataFrame
     done = review.finish_sync(files, matching.file_sync_status(results), took)
     event = audit.job_event(matching.match_summary(results), "MATCHING", "SUCCESS", int(took), now)
     tables.replace_table(done, store.files)
-    tables.append_rows(event, store.audit)  # last: a run cut short before leaves no event
+    tables.append_events(event, store.audit)  # last: a run cut short before leaves no event
     return tables.read_by_file(spark, store.results)
 
 
@@ -188,3 +188,35 @@ def export(spark: SparkSession, store: Store, master: DataFrame, file_id: str) -
     update = tables.export_update(file_id, "READY", matched, unmatched, files)
     tables.replace_table(review.set_export_status(files, update), store.files)
     return tables.find_file(tables.read_table(spark, store.files), file_id)
+
+
+LOGS = dict(zip(audit.LOG_TYPES, (("audit", audit.EVENT_SCHEMA), ("access", audit.ACCESS_SCHEMA))))
+
+
+def log_access(store: Store, requests: DataFrame) -> None:
+    """Keep a batch of requests as access events."""
+    tables.append_events(audit.access_events(requests), store.access)
+
+
+def read_log(spark: SparkSession, store: Store, log_type: str) -> DataFrame:
+    table, schema = LOGS[log_type]
+    return tables.read_events(spark, getattr(store, table), schema)
+
+
+def retain(spark: SparkSession, store: Store, policies: DataFrame, now: Column) -> DataFrame:
+    """Age both logs by their policies; returns the actions kept so far.
+
+    The rows on what was done come last, one for each log and time: a run that is started
+    again with the same `now` changes nothing.
+    """
+    for log_type, (table, schema) in LOGS.items():
+        cutoff = audit.days_before(now, audit.retention_days(policies, log_type)).cast("timestamp")
+        text = spark.range(1).select(cutoff.cast("string").alias("cutoff")).first()["cutoff"]
+        tables.age_events(spark, getattr(store, table), schema, text)
+    done = audit.retention_actions(policies, now)
+    if tables.exists(spark, store.retention):
+        done = done.join(
+            spark.read.schema(done.schema).parquet(store.retention), ["resource_type", "executed_at"], "left_anti"
+        ).select(*done.columns)
+    tables.append_rows(settle(done.coalesce(1), "actions"), store.retention)
+    return spark.read.schema(done.schema).parquet(store.retention)

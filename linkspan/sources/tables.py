@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspan import codes
 from linkspan.operators.reports import export_matched, export_unmatched
 from linkspan.sources import versions
+from linkspan.sources.scratch import settle
+
+
+_DAY = re.compile(r"day=\d{4}-\d\d-\d\d")
 
 
 def overwrite_files(df: DataFrame, path: str, by: str = "file_id") -> None:
     """Replace the partitions of the files in `df` and leave all others.
 
-    Running the same job again gives the same table.
+    Running the same job again gives the same table. The rows are brought together by file
+    first, small ones several to a task and large ones cut by their size, so that the
+    number of files written doesn't grow with the number of tasks.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def read_by_file(spark: SparkSession, path: str, merge: bool = False, schema: str | None = None) -> DataFrame:
@@ -55,6 +63,47 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    """Append audit or access events, by the day of event_time."""
+    days = events.withColumn("day", F.date_format("event_time", "yyyy-MM-dd"))
+    days.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The events of a log that `append_events` writes; none where it doesn't exist yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema + ", day string").parquet(path).drop("day")
+
+
+def age_events(spark: SparkSession, path: str, schema: str, cutoff: str) -> None:
+    """Drop the events before `cutoff` (a time as text, of the session's time zone).
+
+    The day of the cutoff is the only one that is read and written again; days before it go
+    as folders, days after it aren't touched, nor are events without a time. A run that was
+    cut short is started again; a second one finds nothing to do.
+    """
+    edge = cutoff[:10]
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return
+    days = [status.getPath() for status in fs.listStatus(place)]
+    gone = [day for day in days if _DAY.fullmatch(day.getName()) and day.getName() < f"day={edge}"]
+    at_edge = [day for day in days if day.getName() == f"day={edge}"]
+    if at_edge:
+        rows = spark.read.schema(schema).parquet(at_edge[0].toString())
+        old = F.col("event_time") < F.lit(cutoff).cast("timestamp")
+        if rows.where(old).limit(1).count():
+            kept = settle(rows.where(~old).withColumn("day", F.lit(edge)), "edge")
+            if kept.limit(1).count():
+                overwrite_files(kept, path, by="day")
+            else:
+                gone += at_edge
+    for day in gone:
+        fs.delete(day, True)
+
+
 def write_zstd(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
