@@ -64,7 +64,10 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append audit or access events, by the day of event_time."""
+    """Append audit or access events, by the day of event_time.
+
+    Days are those of the session's time zone, which all jobs on a log must share.
+    """
     days = events.withColumn("day", F.date_format("event_time", "yyyy-MM-dd"))
     days.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
