@@ -17,9 +17,11 @@ from linkspan.sources.scratch import settle
 
 BM25_K1, BM25_B = 1.2, 0.75
 RANK_CONSTANT = 60
-REQUEST_BLOCK = 2_000  # request vectors of one block or piece
-VECTOR_BLOCK = 20_000  # vectors of one piece, on average
-STRIP = 2_000  # vectors compared with a block of requests at once
+REQUEST_BLOCK = 2_000  # request vectors of one block; a piece of the grid has as many, or more
+VECTOR_BLOCK = 20_000  # vectors of one piece, or more
+GRID = 8  # pieces of either side, until a piece would hold more than PIECE_ROWS
+PIECE_ROWS = 100_000
+STRIP = 2_000  # vectors and requests compared at once
 TERM_ROWS = 1_000_000  # request terms sent to the tasks up to here
 SCORE_DIGITS = 6
 _HIT_NAMES = ["query_id", "item_id", "score"]
@@ -43,30 +45,38 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _best(asked: np.ndarray, requests: np.ndarray, items: np.ndarray, vectors: np.ndarray, k: int):
-    """Record batches with the k best items per request of each strip of `STRIP` vectors.
+    """Record batches with the k best items per request, a batch for each `STRIP` requests.
 
-    Only what reaches a request's k-th score is sorted, ties included, so the smallest id
-    wins as it does over all items.
+    Vectors are looked at strip by strip. Only scores that reach a request's k-th best so far
+    are rounded and sorted, ties included, so the smallest id wins as it does over all items.
     """
-    for start in range(0, len(items), STRIP):
-        ids = items[start:start + STRIP]
-        score = np.round(requests @ vectors[start:start + STRIP].T, SCORE_DIGITS)
-        if len(ids) > k:
-            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-            row, column = np.nonzero(score >= least[:, None])
-        else:
-            row, column = (x.ravel() for x in np.indices(score.shape))
-        order = np.lexsort((ids[column], -score[row, column], row))
-        row, column = row[order], column[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, column = row[place < k], column[place < k]
+    for top in range(0, len(asked), STRIP):
+        mine = requests[top:top + STRIP]
+        row, ids, score = np.empty(0, np.int64), np.empty(0, items.dtype), np.empty(0)
+        least = np.full(len(mine), -np.inf)
+        for start in range(0, len(items), STRIP):
+            raw = mine @ vectors[start:start + STRIP].T
+            if start == 0 and raw.shape[1] > k:
+                least = np.round(np.partition(raw, raw.shape[1] - k, axis=1)[:, raw.shape[1] - k], SCORE_DIGITS)
+            near, column = np.nonzero(raw >= (least - 10.0 ** -SCORE_DIGITS)[:, None])
+            if not len(near):
+                continue
+            row = np.concatenate((row, near))
+            ids = np.concatenate((ids, items[start + column]))
+            score = np.concatenate((score, np.round(raw[near, column], SCORE_DIGITS)))
+            order = np.lexsort((ids, -score, row))
+            row, ids, score = row[order], ids[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, ids, score = row[place < k], ids[place < k], score[place < k]
+            full = np.flatnonzero(place[place < k] == k - 1)
+            least[row[full]] = score[full]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(asked[row]), pa.array(ids[column]), pa.array(score[row, column])], names=_HIT_NAMES
+            [pa.array(asked[top:top + STRIP][row]), pa.array(ids), pa.array(score)], names=_HIT_NAMES
         )
 
 
 def _in_place(asked: np.ndarray, requests: np.ndarray, k: int):
-    """Function over Arrow batches of vectors: the k best of each strip."""
+    """Function over Arrow batches of vectors: the k best of each batch."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +110,11 @@ def _usable(df: DataFrame, ident: str) -> DataFrame:
     )
 
 
+def _pieces(rows: int, least: int) -> int:
+    """Pieces of a side of the grid: of `least` rows, but no more than GRID while PIECE_ROWS fit one."""
+    return max(1, min(-(-rows // least), max(GRID, -(-rows // PIECE_ROWS))))
+
+
 def dense_topk(vectors: DataFrame, requests: DataFrame, k: int = 5,
                request_block: int | None = None, vector_block: int | None = None) -> DataFrame:
     """k nearest vectors (cosine) per request: query_id, item_id, score, rank.
@@ -111,6 +126,10 @@ def dense_topk(vectors: DataFrame, requests: DataFrame, k: int = 5,
     they are.  More requests form a grid with the vectors: pieces of both sides, a cell for
     each pair of pieces.  A cell is one group that holds a piece of either side and passes
     on k items a request, so no task, and not the driver, holds all of one side.
+
+    Every row moves once per piece of the other side. So pieces grow with the data: there are
+    at most `GRID` of a side as long as `PIECE_ROWS` rows fit one, and what moves grows as the
+    rows do up to GRID * PIECE_ROWS of them; the products are one for each pair all the same.
     """
     request_block, vector_block = request_block or REQUEST_BLOCK, vector_block or VECTOR_BLOCK
     vectors, requests = _usable(vectors, "item_id"), _usable(requests, "query_id")
@@ -121,8 +140,7 @@ def dense_topk(vectors: DataFrame, requests: DataFrame, k: int = 5,
         search = _in_place(asked["query_id"].to_numpy(), _matrix(asked["vector"]), k)
         found = vectors.mapInArrow(search, _HIT_SCHEMA)
     else:
-        down = -(-requests.count() // request_block)
-        across = -(-vectors.count() // vector_block) or 1
+        down, across = _pieces(requests.count(), request_block), _pieces(vectors.count(), vector_block)
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         own = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
         left = vectors.select("item_id", "vector", own("item_id", across).alias("x"), every(down).alias("y"))

@@ -107,6 +107,24 @@ def test_dense_ties_and_odd_vectors(spark, block, piece):
     assert got == want
 
 
+def test_dense_grid_does_not_grow_with_the_rows(spark, monkeypatch):
+    assert search._pieces(0, 400) == 1 and search._pieces(700, 400) == 2
+    assert search._pieces(60_000, 400) == search._pieces(600_000, 400) == search.GRID
+    assert search._pieces(10_000_000, 400) == 100  # a piece stays in memory
+    cells = []
+    search_cell = search._cell
+    monkeypatch.setattr(search, "_cell", lambda k: cells.append(k) or search_cell(k))
+    monkeypatch.setattr(search, "STRIP", 7)
+    rng = np.random.default_rng(3)
+    base = rng.integers(-3, 4, size=(300, 4)).astype(float)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "item_id long, vector array<double>")
+    asked = items.withColumnRenamed("item_id", "query_id")
+    grid = search.dense_topk(items, asked, 4, 5, 3)
+    assert len(cells) == 1
+    assert sorted(map(str, grid.collect())) == sorted(map(str, search.dense_topk(items, asked, 4).collect()))
+    assert grid.groupBy("query_id").count().where("count <> 4").count() == 0
+
+
 def test_dense_without_vectors(spark):
     items = spark.createDataFrame([], "item_id long, vector array<double>")
     asked = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3)], "query_id long, vector array<double>")
