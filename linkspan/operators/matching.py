@@ -4,12 +4,14 @@ How the work is laid out:
 
 * Incoming rows that agree on everything a comparison looks at are one *tuple*;
   it is compared once, whatever the number of copies.
+* Registry rows of a block that agree on all compared values are one candidate, that of the
+  smallest id number.  They are merged once, before anything is counted or joined, wherever
+  many pairs are to be scored.
 * A first aggregation measures the blocks.  From it follows how the join runs:
   incoming tuples of a checked size are broadcast and the registry is read in
   place (rows that meet a partner are spread over more tasks when there are many
   pairs to score); otherwise both sides are shuffled on the block; blocks too large for
-  one task are cut into tiles (both sides), after equal registry rows have been
-  merged.
+  one task are cut into tiles (both sides).
 * Pairs are scored batch by batch where the join produces them and only the
   best partner per tuple and batch goes on, so pairs are never shuffled.
 * When a rule names a field that the score compares exactly, the much narrower
@@ -51,6 +53,7 @@ class Limits:
     tile_incoming: int = 5_000  # tuples of one block handled by one task
     tile_master: int = 20_000
     narrow_from_pairs: int = 50_000_000  # expected pairs from which narrowing pays
+    merge_from_pairs: int = 5_000_000  # pairs from which a registry read in place is merged first
     pairs_per_task: int = 1_000_000  # at most, when registry rows are spread anew
     pairs_worth_a_task: int = 25_000  # at least, while cores are free
     hot_share: int = 5_000  # a block is hot only above total/hot_share rows
@@ -105,9 +108,22 @@ def _master_rows(master: DataFrame | RegistryIndex, rule: BlockingRule, profile:
     )
 
 
+def _merged(master: DataFrame, profile: ScoreProfile, wanted: DataFrame | None = None) -> DataFrame:
+    """One row per block and compared values, with the smallest id number, written once.
+
+    `wanted`: few blocks, the only ones that are looked at.
+    """
+    if wanted is not None:
+        master = master.join(F.broadcast(wanted), BLOCK, "left_semi")
+    values = [f"b_{f}" for f in profile.fields]
+    return settle(master.groupBy(BLOCK, *values).agg(F.min("nik_master").alias("nik_master")), "candidates")
+
+
 def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, profile: ScoreProfile,
-             limits: Limits) -> Layout:
-    """Measure the blocks; everything brought to the driver has a fixed bound.
+             limits: Limits) -> tuple[Layout, DataFrame]:
+    """Measure the blocks; also the candidates to go on with, equal ones merged where it pays.
+
+    Everything brought to the driver has a fixed bound.
 
     A block (or tuple) is hot above max(tile size, total / hot_share) rows, so
     there can be at most hot_share of them on either side.
@@ -126,15 +142,19 @@ def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, profile:
     may_narrow = rule.narrow_by is not None and profile.ceiling_without(rule.narrow_by) < 100
     if layout.broadcast:
         if rule.narrow_by:
-            met = master.select(BLOCK).join(F.broadcast(mine.select(BLOCK, "n_in")), BLOCK)
-            layout.pairs = int(met.agg(F.sum("n_in")).first()[0] or 0)
+            sizes = F.broadcast(mine.select(BLOCK, "n_in"))
+            pairs = lambda: int(master.select(BLOCK).join(sizes, BLOCK).agg(F.sum("n_in")).first()[0] or 0)
+            layout.pairs = pairs()
+            if layout.pairs >= limits.merge_from_pairs:
+                master = _merged(master, profile, mine.select(BLOCK))
+                layout.pairs = pairs()
             layout.narrow = may_narrow and layout.pairs >= limits.narrow_from_pairs
             cores = master.sparkSession.sparkContext.defaultParallelism
             layout.tasks = max(
                 -(-layout.pairs // limits.pairs_per_task),
                 min(cores, layout.pairs // limits.pairs_worth_a_task),
             )
-        return layout
+        return layout, master
 
     hot_copies = max(limits.tile_incoming, int(seen["rows_in"]) // limits.hot_share)
     if seen["copies"] > hot_copies:
@@ -156,8 +176,11 @@ def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, profile:
             for r in mine.filter(F.col("n_in") > cut_in).collect():
                 hot.setdefault(r[BLOCK], [1, 1])[0] = -(-r["n_in"] // cut_in)
         layout.hot_blocks = [(b, i, m) for b, (i, m) in hot.items()]
-        return layout
+        if hot:
+            master = _merged(master, profile)
+        return layout, master
 
+    master = _merged(master, profile)
     theirs = master.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n_ma"))
     sizes = mine.join(theirs, BLOCK).select(BLOCK, "n_in", "n_ma")
     total = sizes.agg(
@@ -172,7 +195,7 @@ def _measure(tuples: DataFrame, master: DataFrame, rule: BlockingRule, profile:
             (r[BLOCK], -(-r["n_in"] // cut_in), -(-r["n_ma"] // cut_ma))
             for r in sizes.filter((F.col("n_in") > cut_in) | (F.col("n_ma") > cut_ma)).collect()
         ]
-    return layout
+    return layout, master
 
 
 def _tiled(df: DataFrame, hot: DataFrame, own: str, other: str, spread: list[str]) -> DataFrame:
@@ -253,9 +276,6 @@ def _search(tuples: DataFrame, master: DataFrame, profile: ScoreProfile, layout:
         return _best_partner(master.join(F.broadcast(tuples), on), profile)
     if layout.hot_blocks:
         values = [f"b_{f}" for f in profile.fields]
-        if narrow_by:
-            values.append("agreed")
-        master = master.groupBy(BLOCK, *values).agg(F.min("nik_master").alias("nik_master"))
         hot = tuples.sparkSession.createDataFrame(
             layout.hot_blocks, f"{BLOCK} string, cut_in int, cut_ma int"
         )
@@ -294,11 +314,10 @@ def best_matches(incoming: DataFrame, master: DataFrame | RegistryIndex, rule: B
     Rows without any candidate have a null score. With an index of the registry its
     rows are neither cleaned nor keyed again, nor shuffled where the incoming side is.
     """
-    # Read three times below and dear to compute, so written once.
+    # Read several times below and dear to compute, so written once.
     rows = settle(_incoming_rows(complete_clean_columns(incoming), rule, profile), "incoming")
-    tuples = _incoming_tuples(rows, profile)
-    candidates = _master_rows(master, rule, profile)
-    layout = _measure(tuples, candidates, rule, profile, limits)
+    tuples = settle(_incoming_tuples(rows, profile), "tuples")
+    layout, candidates = _measure(tuples, _master_rows(master, rule, profile), rule, profile, limits)
     if layout.narrow:
         close = settle(_search(tuples, candidates, profile, layout, rule.narrow_by), "narrow")
         done = close.filter(F.col("score") > profile.ceiling_without(rule.narrow_by) + 1e-6)

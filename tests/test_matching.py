@@ -9,6 +9,7 @@ from linkspan.functions import scoring as sc
 from linkspan.functions.similarity import jaro_winkler_text
 from linkspan.operators.blocking import RULES, candidate_counts, candidate_pairs
 from linkspan.operators.clean import clean_incoming, clean_master
+from linkspan.operators import matching
 from linkspan.operators.matching import (
     Limits, file_sync_status, link, link_files, link_with_sql, match_summary, _best_partner,
 )
@@ -146,6 +147,22 @@ def test_equals_brute_force(spark, data, brute, grade, way):
             assert r["match_result"] == 3
 
 
+@pytest.mark.parametrize("limits", [Limits(broadcast_tuples=0), Limits(merge_from_pairs=1)])
+@pytest.mark.parametrize("grade", [3, 4, 5])
+def test_copies_in_the_registry_are_scored_once(spark, data, monkeypatch, grade, limits):
+    incoming, master = data
+    copies = master.withColumn("nik", F.explode(F.array(*[F.concat(F.lit(str(n)), "nik") for n in range(1, 10)])))
+    scored = []
+    best = matching._best_partner
+    monkeypatch.setattr(matching, "_best_partner", lambda pairs, profile: scored.append(pairs.count()) or best(pairs, profile))
+    rules = sc.default_rules(spark)
+    few = link(incoming, master, grade, rules, limits=limits)
+    many = link(incoming, copies, grade, rules, limits=limits)
+    assert scored[0] == scored[1] > 0
+    plain = lambda df: sorted((r["file_id"], r["id_incoming"], r["match_score"], (r["nik_master"] or "")[-16:]) for r in df.collect())
+    assert plain(many) == plain(few)
+
+
 @pytest.mark.parametrize("grade", [3, 4, 5])
 def test_candidate_counts(data, grade):
     incoming, master = data
