@@ -35,7 +35,7 @@ from linkspan.functions.scoring import (
     ALL_PROFILES, PROFILES, ScoreProfile, classify, missing_count, score_batch, with_rules,
 )
 from linkspan.operators.blocking import BLOCK, RULES, BlockingRule, with_blocks
-from linkspan.operators.clean import complete_clean_columns
+from linkspan.operators.clean import CLEAN_COLUMNS, complete_clean_columns
 from linkspan.operators.registry_index import RegistryIndex, build
 from linkspan.operators.spread import join_by_file
 from linkspan.sources.scratch import settle
@@ -389,19 +389,38 @@ def best_of_pairs(pairs: DataFrame, profile: ScoreProfile, pieces: int = 64) ->
     )
 
 
+def _named_in(sql: str, columns: list[str]) -> list[str]:
+    """The columns that a text may read: those whose names occur in it, all of them if it has a star."""
+    return columns if "*" in sql else [c for c in columns if c.lower() in sql.lower()]
+
+
 def link_with_sql(incoming: DataFrame, master: DataFrame, sql: str, grade: int,
-                  rules: DataFrame, *, profile: ScoreProfile | None = None) -> DataFrame:
+                  rules: DataFrame, *, profile: ScoreProfile | None = None, by_values: bool = False) -> DataFrame:
     """Match with candidates given by a user's SQL text.
 
     The text reads incoming_df and master_df and returns incoming_row_id, nik_master and
     any of the cleaned columns.  Columns it leaves out count as missing.  When several
     files are matched at once it must also return file_id; rows of a null file are their own.
+
+    `by_values` says that the text pairs rows by cleaned columns alone: whether two rows meet
+    doesn't rest on numbers, files, raw values or how many rows there are.  Then rows that agree
+    on all cleaned columns named in the text stand for each other: the text gets one row of each
+    (of the registry that with the smallest nik; of the incoming side with an id of its own, a null
+    file_id and no raw columns), and what it finds goes to all rows.
     """
     profile = profile or PROFILES[grade]
     incoming = settle(  # read twice below
         complete_clean_columns(incoming).withColumn("grade", F.lit(grade)), "incoming"
     )
-    pairs = candidates_of(sql, incoming, master)
+    asked = incoming
+    if by_values:
+        mine = _named_in(sql, [c for c in CLEAN_COLUMNS])
+        theirs = _named_in(sql, [c for c in master.columns if c.endswith("_master_clean")])
+        alike = _fingerprint([F.col(c).cast("string") for c in mine])
+        asked = settle(incoming.select(*mine).distinct().withColumns(
+            {"id": alike, "file_id": F.lit(None).cast("string")}), "values")
+        master = settle(master.groupBy(*theirs).agg(F.min("nik").alias("nik")), "values")
+    pairs = candidates_of(sql, asked, master)
     named = {name.lower() for name in pairs.columns}
     text = lambda name: (F.col(name) if name in named else F.lit(None)).cast("string")
     by_file = "file_id" in named
@@ -413,13 +432,15 @@ def link_with_sql(incoming: DataFrame, master: DataFrame, sql: str, grade: int,
     )
     best = best_of_pairs(pairs, profile)
     own_file = F.col("file_id").cast("string") if by_file else F.lit(None).cast("string")
+    own = key(F.lit(None).cast("string"), alike) if by_values else key(own_file, F.col("id"))
     rows = incoming.select(
-        *ROW, "grade", missing_count(profile).alias("missing_count"), key(own_file, F.col("id")).alias(TUPLE),
+        *ROW, "grade", missing_count(profile).alias("missing_count"), own.alias(TUPLE),
     )
     return _as_results(rows.join(best, TUPLE, "left"), rules)
 
 
 #: A table of rules: a text of candidates and a profile's name besides the thresholds; both may be null.
+#: A further boolean column by_values may say of a text what `link_with_sql` describes.
 RULE_TABLE_SCHEMA = (
     "grade_code int, matching_query string, profile string, auto_missing_max int, auto_score_min double, "
     "review_missing_count int, review_score_min double, review_score_max double"
@@ -456,12 +477,15 @@ def link_files(files: DataFrame, incoming: DataFrame, master: DataFrame | Regist
         index = master if isinstance(master, RegistryIndex) else None
         return link_files_by_table(files, incoming, None if index else master, rules, limits, index)
     grades = _grades_of(files)
-    index = master if isinstance(master, RegistryIndex) else build(master, buckets=_buckets(master))
+    index = master if isinstance(master, RegistryIndex) else _index_for(master, {g: PROFILES[g] for g in grades})
     return _of_all_grades(files, incoming, grades, lambda grade, rows: link(rows, index, grade, rules, limits=limits))
 
 
-def _buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _index_for(master: DataFrame, profiles: dict[int, ScoreProfile]) -> RegistryIndex:
+    """An index for one run: the rules of these grades and the fields that their profiles compare."""
+    buckets = int(master.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = sorted({f for p in profiles.values() for f in p.fields})
+    return build(master, buckets=buckets, rules=sorted({RULES[g].name for g in profiles}), fields=fields)
 
 
 def link_files_by_table(files: DataFrame, incoming: DataFrame, master: DataFrame | None, table: DataFrame,
@@ -484,15 +508,20 @@ def link_files_by_table(files: DataFrame, incoming: DataFrame, master: DataFrame
         raise ValueError(f"No score profile {unknown[0]}")
     if master is None and any(r["matching_query"] for r in rows):
         raise ValueError("a text of candidates needs the registry itself, not an index of it")
-    if index is None and any(not r["matching_query"] for r in rows):
-        index = build(master, buckets=_buckets(master))
+    thresholds = table.drop("by_values")
+    profiles = {
+        g: replace(ALL_PROFILES[r["profile"]], grade=g) if r["profile"] else PROFILES[g] for g, r in found.items()
+    }
+    by_block = {g: p for g, p in profiles.items() if not found[g]["matching_query"]}
+    if index is None and by_block:
+        index = _index_for(master, by_block)
 
     def one(grade: int, mine: DataFrame) -> DataFrame:
-        rule = found[grade]
-        profile = replace(ALL_PROFILES[rule["profile"]], grade=grade) if rule["profile"] else PROFILES[grade]
-        if rule["matching_query"]:
-            return link_with_sql(mine, master, rule["matching_query"], grade, table, profile=profile)
-        return link(mine, index, grade, table, profile=profile, limits=limits)
+        text, profile = found[grade]["matching_query"], profiles[grade]
+        if text:
+            alike = "by_values" in table.columns and bool(found[grade]["by_values"])
+            return link_with_sql(mine, master, text, grade, thresholds, profile=profile, by_values=alike)
+        return link(mine, index, grade, thresholds, profile=profile, limits=limits)
 
     return _of_all_grades(files, incoming, grades, one)
 

@@ -39,13 +39,18 @@ def _rules() -> dict[str, BlockingRule]:
     return {rule.name: rule for rule in RULES.values()}
 
 
-def entries(master: DataFrame, parts: int = PARTS) -> DataFrame:
-    """rule, block, part, nik_master, b_<field>: the rows of all tables, from one pass over the cleaned registry."""
+def entries(master: DataFrame, parts: int = PARTS, rules: list[str] | None = None,
+            fields: list[str] | None = None) -> DataFrame:
+    """rule, block, part, nik_master, b_<field>: the rows of all tables, from one pass over the cleaned registry.
+
+    `rules`, `fields`: those wanted, all by default; other fields are null.
+    """
     keys = [
         F.struct(F.lit(name).alias("rule"), key.alias(BLOCK))
-        for name, rule in _rules().items() for key in rule.master_keys()
+        for name, rule in _rules().items() if rules is None or name in rules for key in rule.master_keys()
     ]
-    values = [F.col(f"{f}_master_clean").cast("string").alias(f"b_{f}") for f in FIELDS]
+    value = lambda f: F.col(f"{f}_master_clean") if fields is None or f in fields else F.lit(None)
+    values = [value(f).cast("string").alias(f"b_{f}") for f in FIELDS]
     found = master.select(
         F.explode(F.array(*keys)).alias("key"), part_of("nik", parts).alias("part"), F.col("nik").alias("nik_master"), *values
     )
@@ -85,9 +90,9 @@ def _columns() -> str:
     return ", ".join([f"{BLOCK} string", "part int", "nik_master string", *(f"b_{f} string" for f in FIELDS)])
 
 
-def _opened(spark: SparkSession, folder: str, buckets: int, parts: int) -> RegistryIndex:
+def _opened(spark: SparkSession, folder: str, buckets: int, parts: int, rules: list[str] | None = None) -> RegistryIndex:
     tables = {}
-    for name in _rules():
+    for name in rules or _rules():
         table = f"linkspan_{name}_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {table} ({_columns()}) USING parquet CLUSTERED BY ({BLOCK}) SORTED BY ({BLOCK})"
@@ -97,24 +102,35 @@ def _opened(spark: SparkSession, folder: str, buckets: int, parts: int) -> Regis
     return RegistryIndex(tables, buckets, parts, spark)
 
 
-def _written(rows: DataFrame, folder: str, buckets: int, parts: int) -> RegistryIndex:
-    """The tables of these rows, which are read once: a stage deals them by block, each task writes a bucket of every rule."""
+def _written(rows: DataFrame, folder: str, buckets: int, parts: int, rules: list[str] | None = None) -> RegistryIndex:
+    """The tables of these rows, which are read once.
+
+    They are put down by rule where they are; then each rule's are dealt by block, the only time that
+    they move, and each task writes a bucket. A single rule's are dealt at once.
+    """
     spark = rows.sparkSession
-    stored = f"{folder}/dealt"
-    rows.repartition(buckets, BLOCK).sortWithinPartitions("rule", BLOCK).write.partitionBy("rule").parquet(stored)
-    dealt = spark.read.schema(f"{_columns()}, rule string").parquet(stored)
-    index = _opened(spark, folder, buckets, parts)
+    index = _opened(spark, folder, buckets, parts, rules)
+    if len(index.tables) > 1:
+        stored = f"{folder}/dealt"
+        rows.write.partitionBy("rule").parquet(stored)
+        rows = spark.read.schema(f"{_columns()}, rule string").parquet(stored)
     for name, table in index.tables.items():
-        own = dealt.where(F.col("rule") == name).select(BLOCK, "part", "nik_master", *(f"b_{f}" for f in FIELDS))
+        own = rows.where(F.col("rule") == name).select(BLOCK, "part", "nik_master", *(f"b_{f}" for f in FIELDS))
         own.repartition(buckets, BLOCK).write.insertInto(table)
     return index
 
 
-def build(master: DataFrame, path: str | None = None, buckets: int = BUCKETS, parts: int = PARTS) -> RegistryIndex:
-    """The tables of a cleaned registry, in a scratch folder or kept under `path`."""
+def build(master: DataFrame, path: str | None = None, buckets: int = BUCKETS, parts: int = PARTS,
+          rules: list[str] | None = None, fields: list[str] | None = None) -> RegistryIndex:
+    """The tables of a cleaned registry, in a scratch folder or kept under `path`.
+
+    One for a run that needs only some rules and fields may leave out the others; a kept one has all.
+    """
+    if path and (rules is not None or fields is not None):
+        raise ValueError("a kept index has all rules and fields")
     spark = master.sparkSession
     folder = versions.fresh(path) if path else fresh_path(spark, "index")
-    index = _written(entries(master, parts), folder, buckets, parts)
+    index = _written(entries(master, parts, rules, fields), folder, buckets, parts, rules)
     if path:
         _keep(index, path, folder)
     return index

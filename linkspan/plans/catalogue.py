@@ -414,7 +414,7 @@ RULE_PAIRS = (
 @query(_match_sql(sc.PROFILE_B, RULE_PAIRS))
 def match_rule_sql(spark, sf_dir):
     return matching.link_with_sql(
-        _incoming(spark, sf_dir), _master(spark, sf_dir), RULE_TEXT, 2, sc.default_rules(spark)
+        _incoming(spark, sf_dir), _master(spark, sf_dir), RULE_TEXT, 2, sc.default_rules(spark), by_values=True
     )
 
 
@@ -472,10 +472,12 @@ def match_files_by_rule_table(spark, sf_dir):
     """Grade 2 by a text of candidates, the others by their own blocks; dates compared as text."""
     thresholds = sc.default_rules(spark)
     named = spark.createDataFrame(
-        [(g, RULE_TEXT if g == 2 else None, p.name) for g, p in sc.TEXT_DATE_PROFILES.items()],
-        "grade_code int, matching_query string, profile string",
+        [(g, RULE_TEXT if g == 2 else None, p.name, g == 2) for g, p in sc.TEXT_DATE_PROFILES.items()],
+        "grade_code int, matching_query string, profile string, by_values boolean",
+    )
+    table = thresholds.join(named, "grade_code").select(
+        *(f.split()[0] for f in matching.RULE_TABLE_SCHEMA.split(", ")), "by_values"
     )
-    table = thresholds.join(named, "grade_code").select(*(f.split()[0] for f in matching.RULE_TABLE_SCHEMA.split(", ")))
     return matching.link_files(derive(spark, sf_dir, "files_v"), _incoming(spark, sf_dir), _master(spark, sf_dir), table)
 
 

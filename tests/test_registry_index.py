@@ -143,3 +143,34 @@ def test_one_row_with_most_of_the_pairs(spark):
             assert (r["nik_master"], r["match_score"]) == (f"{n:05d}", 100.0)
         elif n % 10 != 1:
             assert r["nik_master"] is None
+
+
+BY_VALUES = """SELECT i.file_id, i.id AS incoming_row_id, m.nik AS nik_master, i.nama_clean, m.nama_master_clean
+               FROM incoming_df i JOIN master_df m ON i.tanggal_lahir_clean = m.tanggal_lahir_master_clean"""
+
+
+def test_text_by_values_scores_equal_rows_once(spark, data, monkeypatch):
+    incoming, master = data
+    copies = master.withColumn("nik", F.explode(F.array(*[F.concat("nik", F.lit(str(n))) for n in range(9)])))
+    twice = incoming.withColumn("file_id", F.explode(F.array("file_id", F.lit(None), F.concat("file_id", F.lit("b")))))
+    rules = sc.default_rules(spark)
+    scored = []
+    best = matching.best_of_pairs
+    monkeypatch.setattr(matching, "best_of_pairs", lambda pairs, profile: scored.append(pairs.count()) or best(pairs, profile))
+    want = link_with_sql(twice, copies, BY_VALUES, 2, rules)
+    got = link_with_sql(twice, copies, BY_VALUES, 2, rules, by_values=True)
+    assert rows(got) == rows(want)
+    assert scored[1] * 20 < scored[0]
+    with pytest.raises(Exception):  # a text that looks at a number is refused, not answered otherwise
+        link_with_sql(incoming, master, TEXT, 1, rules, by_values=True)
+
+
+def test_index_of_one_run_has_only_its_rules(spark, data):
+    _, master = data
+    index = registry_index.build(master, buckets=2, rules=["nik"], fields=["nama"])
+    assert set(index.tables) == {"nik"}
+    full = registry_index.build(master, buckets=2)
+    assert rows(index.rows(RULES[1], sc.PROFILES[1])) == rows(full.rows(RULES[1], sc.PROFILES[1]))
+    index.close(), full.close()
+    with pytest.raises(ValueError):
+        registry_index.build(master, "/tmp/none", rules=["nik"])
