@@ -16,25 +16,45 @@ def _trim(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANK))
 
 
+def _tidy(text: Column) -> Column:
+    return F.regexp_replace(_trim(text), "\n{3,}", "\n\n")
+
+
+def _tagged(pages: Column) -> Column:
+    """An array of pages tagged, each as `tag_page` does it.
+
+    One transform a step: a value that later steps use more than once is made once a page.
+    """
+    tidy = F.transform(pages, _tidy)
+    asked = F.transform(tidy, lambda p: F.struct(
+        p.alias("tidy"), F.when(p.startswith("Q:"), F.regexp_extract(p, _QUESTION, 0)).alias("whole"),
+    ))
+    cut = F.transform(asked, lambda p: F.struct(
+        p["tidy"].alias("tidy"), p["whole"].alias("whole"),
+        _trim(F.substring(p["tidy"], F.length(p["whole"]) + 1, F.length(p["tidy"]))).alias("rest"),
+    ))
+    placed = F.transform(cut, lambda p: F.struct(
+        p["tidy"].alias("tidy"), p["whole"].alias("whole"), p["rest"].alias("rest"), F.instr(p["rest"], _QUERY).alias("at"),
+    ))
+    parts = F.transform(placed, lambda p: F.struct(
+        p["tidy"].alias("tidy"), _trim(F.regexp_replace(p["whole"], r"^Q:\s*", "")).alias("question"),
+        _trim(F.when(p["at"] > 0, F.substring(p["rest"], F.lit(1), p["at"] - 1)).otherwise(p["rest"])).alias("answer"),
+        F.when(p["at"] > 0, F.substring(p["rest"], p["at"], F.length(p["rest"]))).otherwise("").alias("query"),
+    ))
+    return F.transform(parts, lambda p: F.when(p["question"].isNotNull(), _trim(F.concat(
+        F.lit("<question>"), p["question"], F.lit("</question>\n"),
+        F.when(p["answer"] != "", F.concat(F.lit("<answer>"), p["answer"], F.lit("</answer>\n"))).otherwise(""),
+        p["query"],
+    ))).otherwise(p["tidy"]))
+
+
 def tag_page(text: Column) -> Column:
     """A page without superfluous blank lines, its question and answer tagged.
 
     A page that starts with "Q:" gets <question> up to the first blank line,
     <answer> for what follows, and keeps its <query> tail.
     """
-    tidy = F.regexp_replace(_trim(text), "\n{3,}", "\n\n")
-    whole = F.regexp_extract(tidy, _QUESTION, 0)
-    question = _trim(F.regexp_extract(tidy, _QUESTION, 1))
-    rest = _trim(F.substring(tidy, F.length(whole) + 1, F.length(tidy)))
-    at = F.instr(rest, _QUERY)
-    answer = _trim(F.when(at > 0, F.substring(rest, F.lit(1), at - 1)).otherwise(rest))
-    query = F.when(at > 0, F.substring(rest, at, F.length(rest))).otherwise("")
-    tagged = F.concat(
-        F.lit("<question>"), question, F.lit("</question>\n"),
-        F.when(answer != "", F.concat(F.lit("<answer>"), answer, F.lit("</answer>\n"))).otherwise(""),
-        query,
-    )
-    return F.when(tidy.startswith("Q:"), _trim(tagged)).otherwise(tidy)
+    return F.element_at(_tagged(F.array(text)), 1)
 
 
 def content_type(path: Column) -> Column:
@@ -73,7 +93,7 @@ def chunk_documents(documents: DataFrame, path: str = "path", text: str = "text"
     """
     texts = describe_documents(documents, path, text).filter(F.col("content_type") == "text")
     raw = F.split(F.col(text), F.lit(r"\Q" + codes.PAGE_BREAK + r"\E"))
-    pages = F.filter(F.transform(raw, tag_page), lambda p: p != "")
+    pages = F.filter(_tagged(raw), lambda p: p != "")
     return (
         texts.select(
             path, "doc_name", "content_type", "source_file", "file_hash",

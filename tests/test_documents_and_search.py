@@ -159,3 +159,13 @@ def test_answers_are_masked_only_when_asked(spark):
     df = spark.createDataFrame([("assistant", "3200000000000123"), ("user", "3200000000000123")], "role string, text string")
     assert [r["text"] for r in conversations.mask_answers(df).collect()] == ["*************123", "3200000000000123"]
     assert [r["text"] for r in conversations.mask_answers(df, enabled=False).collect()] == ["3200000000000123"] * 2
+
+
+def test_a_page_is_tidied_once(spark, monkeypatch):
+    steps = []
+    tidy = documents._tidy
+    monkeypatch.setattr(documents, "_tidy", lambda p: steps.append(p) or tidy(p))
+    docs = spark.createDataFrame([("a.md", "Q: one\n\ntwo <query>x")], "path string, text string")
+    plan = documents.chunk_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{3,}") == 1
+    assert documents.chunk_documents(docs).first()["page_content"] == "<question>one</question>\n<answer>two</answer>\n<query>x"
