@@ -22,6 +22,7 @@ VECTOR_BLOCK = 20_000  # vectors of one piece, or more
 GRID = 8  # pieces of either side, until a piece would hold more than PIECE_ROWS
 PIECE_ROWS = 100_000
 STRIP = 2_000  # vectors and requests compared at once
+TASK_PAIRS = 1_000_000  # (request, document, term) rows that a task adds up, on average
 TERM_ROWS = 1_000_000  # request terms sent to the tasks up to here
 SCORE_DIGITS = 6
 _HIT_NAMES = ["query_id", "item_id", "score"]
@@ -159,6 +160,12 @@ def tokens(df: DataFrame, ident: str, text: str) -> DataFrame:
 _ALL = "\u0000"  # stands for the whole collection among the terms
 
 
+def _score_tasks(asked: DataFrame, spread: DataFrame) -> int:
+    """Tasks that add up the scores, from the exact number of rows that meet: df of each term asked."""
+    met = asked.join(spread, "term").agg(F.sum("df")).first()[0] or 0
+    return max(asked.sparkSession.sparkContext.defaultParallelism, -(-int(met) // TASK_PAIRS))
+
+
 def bm25_topk(documents: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
     """k best documents per request by BM25 over whole texts.
 
@@ -166,7 +173,8 @@ def bm25_topk(documents: DataFrame, requests: DataFrame, k: int = 5) -> DataFram
     read twice: once for its size and the document counts of the terms asked
     for, once for the scores.  Of a document only its counts of those terms are
     shuffled, by document, so scores are added up and cut to the k best per
-    request where the document is.
+    request where the document is.  The tasks of that are as many as the rows that
+    meet ask for (`TASK_PAIRS` each), whatever the collection's size.
     """
     asked = (
         tokens(requests, "query_id", "text").groupBy("query_id", "term")
@@ -193,7 +201,7 @@ def bm25_topk(documents: DataFrame, requests: DataFrame, k: int = 5) -> DataFram
         sized.select("item_id", "size", F.explode_outer("words").alias("term"))
         .join(send(terms), "term", "left_semi")
         .groupBy("item_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-        .repartition("item_id")
+        .repartition(_score_tasks(asked, spread), "item_id")
     )
     weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(spread, "term").select(

@@ -169,3 +169,15 @@ def test_a_page_is_tidied_once(spark, monkeypatch):
     plan = documents.chunk_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("{3,}") == 1
     assert documents.chunk_documents(docs).first()["page_content"] == "<question>one</question>\n<answer>two</answer>\n<query>x"
+
+
+def test_bm25_tasks_follow_the_rows_that_meet(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b word{i % 3}") for i in range(200)], "item_id long, text string")
+    asked = spark.createDataFrame([(i, "a b") for i in range(5)], "query_id long, text string")
+    want = sorted(map(str, search.bm25_topk(docs, asked, 3).collect()))
+    monkeypatch.setattr(search, "TASK_PAIRS", 50)
+    tasks = []
+    score_tasks = search._score_tasks
+    monkeypatch.setattr(search, "_score_tasks", lambda *a: tasks.append(score_tasks(*a)) or tasks[-1])
+    assert sorted(map(str, search.bm25_topk(docs, asked, 3).collect())) == want
+    assert tasks == [40]  # 200 documents with each of two terms, for 5 requests
