@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linkspan.sources.scratch import settle
 
 BLOCK = "block"
+TASK_ROWS = 1_000_000  # registry rows that a task tells apart, on average
 _SEPARATOR = "\u001f"
 
 
@@ -180,11 +181,17 @@ def candidate_counts(incoming: DataFrame, master: DataFrame, rule: BlockingRule)
     """Number of distinct candidates per incoming row, without listing them.
 
     Registry rows are counted per block first, so the join carries one row per
-    block and per incoming row whatever the size of the blocks.
+    block and per incoming row whatever the size of the blocks.  Equal rows come together by
+    block and id number, to as many tasks as the registry has rows for (`TASK_ROWS` each).
     """
     compared = ["nik"] + [c for c in master.columns if c.endswith("_master_clean")]
+    entries = with_blocks(master.select(*compared), rule.master_keys())
+    tasks = max(
+        master.sparkSession.sparkContext.defaultParallelism,
+        -(-master.count() * sum(not b.covered for b in rule.branches) // TASK_ROWS),
+    )
     sizes = (
-        with_blocks(master.select(*compared), rule.master_keys())
+        entries.repartition(tasks, BLOCK, "nik")
         .groupBy(BLOCK, *compared).agg(F.lit(1).alias("one"))
         .groupBy(BLOCK).agg(F.count("one").alias("size"))
     )

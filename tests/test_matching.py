@@ -9,7 +9,7 @@ from linkspan.functions import scoring as sc
 from linkspan.functions.similarity import jaro_winkler_text
 from linkspan.operators.blocking import RULES, candidate_counts, candidate_pairs
 from linkspan.operators.clean import clean_incoming, clean_master
-from linkspan.operators import matching
+from linkspan.operators import blocking, matching
 from linkspan.operators.matching import (
     Limits, file_sync_status, link, link_files, link_with_sql, match_summary, _best_partner,
 )
@@ -173,6 +173,17 @@ def test_candidate_counts(data, grade):
     assert counted == {k: listed.get(k, 0) for k in counted}
 
 
+def test_candidate_counts_spread_by_rows(data, monkeypatch):
+    incoming, master = data
+    want = sorted(map(str, candidate_counts(incoming, master, RULES[4]).collect()))
+    monkeypatch.setattr(blocking, "TASK_ROWS", 10)
+    counted = candidate_counts(incoming, master, RULES[4])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-master.count() * 3 // 10)  # three branches make blocks
+    assert tasks > 8 and f", {tasks}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, counted.collect())) == want
+
+
 def test_score_on_columns_equals_batches(spark, data):
     incoming, master = data
     for grade in (3, 4, 5):
