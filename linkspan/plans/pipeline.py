@@ -70,7 +70,7 @@ def match(spark: SparkSession, store: Store, master: DataFrame, rules: DataFrame
         "reason": F.lit(None).cast("string"), "pattern_name": F.lit(None).cast("string"),
         "reasoning_source": F.lit(None).cast("string"),
     })
-    tables.overwrite_files(manual, store.manual)
+    tables.overwrite_files(manual, store.manual, number="id_incoming")
     took = (time.perf_counter() - started) * 1000
     done = review.finish_sync(files, matching.file_sync_status(results), took)
     event = audit.job_event(matching.match_summary(results), "MATCHING", "SUCCESS", int(took), now)
@@ -179,7 +179,7 @@ def export(spark: SparkSession, store: Store, master: DataFrame, file_id: str) -
     chosen = tables.find_file(tables.read_table(spark, store.files), file_id, "file_id")
     results = tables.read_by_file(spark, store.results)
     mine = results.filter(F.col("file_id") == file_id)
-    tables.overwrite_files(settle(review.close_results(mine, chosen), "results"), store.results)
+    tables.write_results(settle(review.close_results(mine, chosen), "results"), store.results)
     matched, unmatched = tables.export_file(
         tables.read_by_file(spark, store.results), intake.read_curated(spark, store.curated).drop("header", "path"),
         master, file_id, store.exports,

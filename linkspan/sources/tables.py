@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +16,44 @@ from linkspan.sources.scratch import settle
 
 
 _DAY = re.compile(r"day=\d{4}-\d\d-\d\d")
+SHARE_BYTES = 32 << 20  # shuffled bytes that a writing task takes; it sorts their rows, which are several times as large
+PIECE_ROWS = 250_000  # consecutive row numbers of a file that stay together
 
 
-def overwrite_files(df: DataFrame, path: str, by: str = "file_id") -> None:
+def _byte_count(size: str) -> int:
+    """A size as Spark's settings have it: 64MB, 16m, 67108864b."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextmanager
+def _bounded_shares(spark: SparkSession) -> Iterator[None]:
+    """What runs inside brings rows together in shares of SHARE_BYTES at most."""
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, str(min(SHARE_BYTES, _byte_count(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(advisory, before)
+
+
+def overwrite_files(df: DataFrame, path: str, by: str = "file_id", number: str | None = None) -> None:
     """Replace the partitions of the files in `df` and leave all others.
 
     Running the same job again gives the same table. The rows are brought together by file
     first, small ones several to a task and large ones cut by their size, so that the
-    number of files written doesn't grow with the number of tasks.
+    number of files written doesn't grow with the number of tasks. With a column `number`,
+    where `df` has it, that holds a row's number in its file, rows of a file that come from
+    one task are cut too; text that is no number does no harm.
     """
-    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    keys = [by]
+    if number in df.columns:
+        piece = F.floor(F.col(number).try_cast("long") / PIECE_ROWS)
+        df, keys = df.withColumn("_piece", piece), [by, "_piece"]
+    with _bounded_shares(df.sparkSession):
+        df.hint("rebalance", *keys).drop("_piece").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def read_by_file(spark: SparkSession, path: str, merge: bool = False, schema: str | None = None) -> DataFrame:
@@ -50,12 +80,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def write_curated(uploads: DataFrame, path: str) -> None:
     """Uploads as Parquet, one partition per file."""
-    overwrite_files(uploads, path)
+    overwrite_files(uploads, path, number="id")
 
 
 def write_results(results: DataFrame, path: str) -> None:
     """Match results by file."""
-    overwrite_files(results, path)
+    overwrite_files(results, path, number="id_incoming")
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -69,7 +99,8 @@ def append_events(events: DataFrame, path: str) -> None:
     Days are those of the session's time zone, which all jobs on a log must share.
     """
     days = events.withColumn("day", F.date_format("event_time", "yyyy-MM-dd"))
-    days.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    with _bounded_shares(events.sparkSession):
+        days.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:

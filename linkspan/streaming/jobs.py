@@ -43,7 +43,7 @@ def watch_uploads(spark: SparkSession, folder: str, header: list[str], curated:
         placed = settle(rows, "uploads")
         one_key_each(placed.select("file_id", "path"))
         kept = placed.drop("path")
-        overwrite_files(kept, curated)
+        overwrite_files(kept, curated, number="id")
         overwrite_files(grade_files(profile_files(kept), named).select("file_id", "grade", "total_rows"), grades)
 
     return (
@@ -64,7 +64,7 @@ def watch_matches(spark: SparkSession, curated: str, graded: str, graded_schema:
     def handle(batch: DataFrame, _: int) -> None:
         files = settle(batch.select("file_id", "grade", now.alias("upload_timestamp")), "files")
         rows = join_by_file(read_curated(spark, curated), files.select("file_id"), "id", "left_semi")
-        overwrite_files(link_files(files, clean_incoming(rows), master, rules), results)
+        overwrite_files(link_files(files, clean_incoming(rows), master, rules), results, number="id_incoming")
 
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -83,3 +83,41 @@ def test_files_written_don_t_grow_with_tasks(spark, tmp_path):
     made = [Path(name).parts[0] for name in folders(path)]
     assert made.count("file_id=large") > 2  # cut by size
     assert len(made) < 80 and spark.read.parquet(path).count() == 40_000
+
+
+def test_a_large_upload_from_one_task_is_cut(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 600_000, 1, 1).select(
+        F.lit("large").alias("file_id"), (F.col("id") + 1).cast("string").alias("id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    small = spark.createDataFrame([("small", "1", "x"), ("small", "two", "y"), ("small", None, "z")], "file_id string, id string, text string")
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    monkeypatch.setattr(tables, "SHARE_BYTES", 1 << 20)
+    tables.write_curated(rows.union(small), str(tmp_path / "curated"))
+    assert spark.conf.get(advisory) == before
+    made = [Path(name).parts[0] for name in folders(str(tmp_path / "curated"))]
+    assert made.count("file_id=large") == 3 and made.count("file_id=small") <= 2  # pieces of 250,000 rows
+    back = spark.read.parquet(str(tmp_path / "curated")).select(*rows.columns)
+    assert back.count() == 600_003 and back.exceptAll(rows.union(small)).count() == 0
+
+
+def test_sizes_are_read_as_spark_writes_them():
+    sizes = {"64MB": 64 << 20, "16m": 16 << 20, "67108864b": 64 << 20, "400KB": 400 << 10, "1g": 1 << 30, "123": 123}
+    assert {size: tables._byte_count(size) for size in sizes} == sizes
+
+
+def test_totals_tell_ids_and_id_numbers_apart(spark, monkeypatch):
+    from linkspan.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "_SHARE_ROWS", 50)
+    schema = "file_id string, id string, nik string, nama_ibu string, tanggal_lahir string"
+
+    def totals(ids):
+        rows = [("f", i and str(i), None if n % 3 == 0 else f"n{n % 7}", None, "x") for n, i in enumerate(ids)]
+        return catalogue._totals(spark.createDataFrame(rows, schema)).first()
+
+    good = totals(range(1, 201))
+    assert tuple(good) == (200, 133, 7, 0, 200, True)
+    for ids in ([*range(1, 200), 199], [*range(1, 200), 201], range(2, 202), [*range(1, 200), None], [1, 1, 3], [-1, 1, 2]):
+        assert totals(ids)["dense_ids"] is False
