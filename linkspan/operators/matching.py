@@ -456,10 +456,12 @@ def _grades_of(files: DataFrame) -> list[int]:
 
 
 def _of_all_grades(files: DataFrame, incoming: DataFrame, grades: list[int], one) -> DataFrame:
+    """Each grade's results are written before the next grade begins: the tuples and partners that
+    are sent to the tasks pass the driver, which so never holds those of all grades at a time."""
     out = None
     for grade in grades:
         mine = files.filter(F.col("grade") == grade).select("file_id")
-        part = one(grade, join_by_file(incoming, mine, "id", "left_semi"))
+        part = settle(one(grade, join_by_file(incoming, mine, "id", "left_semi")), "matched")
         out = part if out is None else out.unionByName(part)
     dates = files.select("file_id", F.col("upload_timestamp").alias("upload_date"))
     return join_by_file(out, dates, "id_incoming")

@@ -18,13 +18,17 @@ def join_by_file(rows: DataFrame, files: DataFrame, spread_by: str, how: str = "
                  parts: int = FILE_PARTS) -> DataFrame:
     """Join rows with a table that has one row per file.
 
-    One file may hold a large part of all rows, so each file is cut into
-    `parts` pieces by `spread_by` and its row in the file table repeated for
-    each piece.
+    A small `files` is sent to the tasks as it is. Otherwise both sides are shuffled: one file
+    may hold a large part of all rows, so each file is cut into `parts` pieces by `spread_by`
+    and its row in the file table repeated for each piece. The planner takes the repeated rows
+    for a single one, and would send them all through the driver; so the join's kind is named.
     """
+    files = settle(files, "files")
+    if files.count() <= KEYS_SENT:
+        return rows.join(F.broadcast(files), "file_id", how)
     pieces = files.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     cut = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
-    return rows.withColumn("piece", cut).join(pieces, ["file_id", "piece"], how).drop("piece")
+    return rows.withColumn("piece", cut).join(pieces.hint("merge"), ["file_id", "piece"], how).drop("piece")
 
 
 def first_of_wanted(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

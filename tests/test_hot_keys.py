@@ -47,6 +47,27 @@ def test_hot_key_is_cut(spark, forced):
     assert sum(sizes) == 400 and max(sizes) < 150  # whole it would be one of 400
 
 
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+def test_file_table_is_not_sent_in_copies(spark, monkeypatch, how):
+    """Few files are sent once each; the copies of many are shuffled, though the planner counts them once."""
+    given = [(i, key) for i, key in rows_of(spark)]
+    named = [("hot", 1), ("hot", 1), ("k1", 2), (None, 3), ("unused", 4)]
+    rows = spark.createDataFrame(given, "id long, file_id string")
+    files = spark.createDataFrame(named, "file_id string, v int")
+    of = {key: [v for k, v in named if k == key] for key in {"hot", "k1"}}
+    if how == "left":
+        want = sorted(str((key, i, v)) for i, key in given for v in of.get(key, [None]))
+    else:
+        want = sorted(str((key, i)) for i, key in given if key in of)
+    for sent, kind, copies in ((200_000, "BroadcastHashJoin", False), (0, "SortMergeJoin", True)):
+        monkeypatch.setattr(spread, "KEYS_SENT", sent)
+        joined = spread.join_by_file(rows, files, "id", how)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert kind in plan and ("explode" in plan) == copies
+        assert ("Broadcast" in plan) == (not copies)
+        assert sorted(str(tuple(r)) for r in joined.collect()) == want
+
+
 def test_smallest_row_of_each_wanted_key(spark, monkeypatch):
     table = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("a", 1, None), ("b", 5, "y"), (None, 0, "n")],
                                   "nik string, n int, s string")

@@ -59,6 +59,17 @@ def test_all_grades_read_the_registry_once(spark, data, monkeypatch):
     assert len(read) == 1
 
 
+def test_grades_are_not_searched_side_by_side(spark, data):
+    incoming, master = data
+    files = incoming.select("file_id").distinct().withColumns({
+        "grade": (F.abs(F.xxhash64("file_id")) % 5 + 1).cast("int"), "upload_timestamp": F.lit("2024-01-01").cast("timestamp"),
+    })
+    found = link_files(files, incoming, master, sc.default_rules(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("BroadcastExchange") <= 1  # the files
+    assert found.count() == incoming.count()
+
+
 def test_kept_and_refreshed(spark, data, tmp_path):
     _, master = data
     path = str(tmp_path / "index")
