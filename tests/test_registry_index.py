@@ -128,6 +128,17 @@ def test_rule_table(spark, data):
         link_files_by_table(files.withColumn("grade", F.lit(7)), incoming, master, table(spark, (1, None, None)))
 
 
+def test_grades_of_a_rule_table_are_not_searched_side_by_side(spark, data):
+    incoming, master = data
+    files = incoming.select("file_id").distinct().withColumns({
+        "grade": F.when(F.xxhash64("file_id") % 2 == 0, 1).otherwise(3), "upload_timestamp": F.lit("2024-01-01").cast("timestamp"),
+    })
+    found = link_files_by_table(files, incoming, master, table(spark, (1, TEXT, None), (3, None, "c_text")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("BroadcastExchange") <= 1  # the files
+    assert found.count() == incoming.count()
+
+
 def test_names_stay_out_of_the_session(spark, data):
     spark.createDataFrame([("kept",)], "word string").createOrReplaceTempView("incoming_df")
     text = "WITH p AS (" + TEXT.rstrip(";") + ") SELECT *, '{braces} incoming_df' AS noted FROM p"
